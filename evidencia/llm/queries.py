@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import repeated_lines as p4
+from . import residue as p5
 from . import tokenize as p6
 
 
@@ -18,11 +19,19 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4.without_repeated_lines(table(spark, sf_dir, "pdf_pages")).select("page_id", "markdown")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.find_residue(table(spark, sf_dir, "pdf_pages"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.exclude_residue(table(spark, sf_dir, "pdf_pages")).select("page_id", "url")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p6_ids)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
 
 #: Lines' letters, sites and distinct urls, as DuckDB counts them.
 P4_SQL = r"""
