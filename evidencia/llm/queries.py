@@ -6,11 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from . import language as p3
 from . import repeated_lines as p4
 from . import residue as p5
 from . import tokenize as p6
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> p3.Model:
+    pages, documents = table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "documents")
+    return p3.fit_model(table(spark, sf_dir, "lang_samples"), (documents, "doc_id", "text", "lang"), (pages, "page_id", "markdown", "declared_lang"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pdf_pages")
+    kept = pages.join(p5.find_residue(pages), "page_id", "left_anti")
+    return p3.wrong_labels(kept, _language_model(spark, sf_dir)).select("page_id", "para_no", "lang")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.segment(table(spark, sf_dir, "pdf_pages"), _language_model(spark, sf_dir)).withColumnRenamed("key", "page_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4.repeated_lines(table(spark, sf_dir, "pdf_pages"))
 
@@ -31,7 +47,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
 
 #: Lines' letters, sites and distinct urls, as DuckDB counts them.
 P4_SQL = r"""
