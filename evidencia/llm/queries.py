@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import language as p3
+from . import names as p1
 from . import repeated_lines as p4
 from . import residue as p5
 from . import tokenize as p6
 
 
+def _linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.link_names(table(spark, sf_dir, "crm_duplicates"), short_forms=table(spark, sf_dir, "name_forms"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.same_entity_pairs(_linked_names(spark, sf_dir))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked_names(spark, sf_dir)
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> p3.Model:
     pages, documents = table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "documents")
     return p3.fit_model(table(spark, sf_dir, "lang_samples"), (documents, "doc_id", "text", "lang"), (pages, "page_id", "markdown", "declared_lang"))
@@ -47,7 +60,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
 
 #: Lines' letters, sites and distinct urls, as DuckDB counts them.
 P4_SQL = r"""
