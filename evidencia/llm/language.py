@@ -68,8 +68,8 @@ def codewords(n: int, bits: int = 15) -> np.ndarray:
 class Settings:
     """sample: labelled documents the classifiers are fitted on, at most; chars: of each of these, at most."""
 
-    sample: int = 2000
-    chars: int = 4000
+    sample: int = 800
+    chars: int = 2500
     dims: int = 1 << 16
     grams: tuple[int, ...] = (1, 2, 3, 4)
     bits: int = 15
@@ -88,10 +88,20 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum([0, *map(len, padded)])
 
 
-def features(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], s: Settings, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of all texts and where each text's begin (every text has at least one)."""
+    ids, starts, before = [], [], 0
+    for i in range(0, len(texts), block):  # in blocks: the hashes in the making are far larger than the result
+        at, first = _block_features(texts[i : i + block], s)
+        ids.append(at)
+        starts.append(first + before)
+        before += len(at)
+    return np.concatenate(ids), np.concatenate(starts)
+
+
+def _block_features(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     flat, starts = _codes(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
     ids, owners = [], []
     for n in s.grams:
         if len(flat) < n:
@@ -150,8 +160,8 @@ class Model:
     def _sums(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out = np.empty((len(starts), self.s.bits), np.float32)
         bounds = [*starts.tolist(), len(at)]
-        for i in range(0, len(starts), 4096):  # a bounded part of the gathered weights at a time
-            j = min(i + 4096, len(starts))
+        for i in range(0, len(starts), 1024):  # a bounded part of the gathered weights at a time
+            j = min(i + 1024, len(starts))
             out[i:j] = np.add.reduceat(self.w[at[bounds[i] : bounds[j]]], np.asarray(bounds[i:j]) - bounds[i], axis=0)
         return out
 

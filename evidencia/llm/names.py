@@ -455,7 +455,9 @@ def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", na
     sharded = placed.withColumn("place", F.explode(F.when(F.col("__large"), _shard_udf(F.col("token"))).otherwise(small))).select("scope", F.col("place.shard").alias("shard"), F.col("place.role").alias("role"), "token", "id", "form", "counts")
     pairs = short_forms.limit(10_000).collect() if short_forms is not None else []
     matcher = Matcher(nickname_map([(r[0], r[1]) for r in pairs if r[0] and r[1]]), common)
-    links = sharded.repartition("scope", "shard").sortWithinPartitions("scope", "shard").mapInPandas(lambda batches: _link_sorted(batches, matcher), LINKS.format(kind=kind))
+    # a fixed number of tasks: these rows are few bytes but much work, and AQE would join them into a few tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = sharded.repartition(tasks, "scope", "shard").sortWithinPartitions("scope", "shard").mapInPandas(lambda batches: _link_sorted(batches, matcher), LINKS.format(kind=kind))
     links = cut(links.distinct())
     part = connected_components(links.where("kind = 'same'"))
     node = forms.select("scope", "form", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("scope", "form", "id", F.coalesce("component", "id").alias("entity"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from . import language as p3
 from . import names as p1
+from . import pii as p2
 from . import repeated_lines as p4
 from . import residue as p5
 from . import tokenize as p6
@@ -25,6 +26,19 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked_names(spark, sf_dir)
 
 
+def _pii_field(spark: SparkSession, sf_dir: str) -> p2.Field:
+    return p2.fit_field(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "crm_contacts"), table(spark, sf_dir, "name_forms"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p2.find_pii(table(spark, sf_dir, "pdf_pages"), _pii_field(spark, sf_dir))
+    return found.select("page_id", "pii_type", "pii_value").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.redact(table(spark, sf_dir, "pdf_pages"), _pii_field(spark, sf_dir)).select("page_id", "markdown")
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> p3.Model:
     pages, documents = table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "documents")
     return p3.fit_model(table(spark, sf_dir, "lang_samples"), (documents, "doc_id", "text", "lang"), (pages, "page_id", "markdown", "declared_lang"))
@@ -60,7 +74,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
 
 #: Lines' letters, sites and distinct urls, as DuckDB counts them.
 P4_SQL = r"""
