@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import language as p3
+from . import mixing as p7
 from . import names as p1
 from . import pii as p2
+from . import reading as p8
 from . import repeated_lines as p4
 from . import residue as p5
 from . import tokenize as p6
@@ -74,7 +76,23 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids)}
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("level >= 4").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_redacted, p3_found, p3_segments, p4_found, p4_clean, p5_found, p5_clean, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
 
 #: Lines' letters, sites and distinct urls, as DuckDB counts them.
 P4_SQL = r"""
