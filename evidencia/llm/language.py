@@ -71,37 +71,21 @@ class Settings:
     sample: int = 800
     chars: int = 2500
     dims: int = 1 << 16
-    grams: tuple[int, ...] = (1, 2, 3, 4)
+    grams: tuple[int, ...] = (1, 2, 3, 4, 5)
     bits: int = 15
     smooth: float = 0.3
     sure: float = 0.75
     #: A second language needs one sentence of so many words in small letters, decoded with such a share.
     proof_words: int = 5
-    proof: float = 0.97
+    proof: float = 0.98
     languages: tuple[str, ...] = field(default=LANGUAGES)
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in a row, each word between spaces, and where each text begins."""
-    padded = [" " + " ".join(WORD.findall(t.lower())) + " " for t in texts]
+def word_grams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of each word between spaces, and where each word's begin."""
+    padded = [f" {w} " for w in words]
     flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    return flat, np.cumsum([0, *map(len, padded)])
-
-
-def features(texts: list[str], s: Settings, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of all texts and where each text's begin (every text has at least one)."""
-    ids, starts, before = [], [], 0
-    for i in range(0, len(texts), block):  # in blocks: the hashes in the making are far larger than the result
-        at, first = _block_features(texts[i : i + block], s)
-        ids.append(at)
-        starts.append(first + before)
-        before += len(at)
-    return np.concatenate(ids), np.concatenate(starts)
-
-
-def _block_features(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    flat, starts = _codes(texts)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, padded), np.int64, len(padded)))
     ids, owners = [], []
     for n in s.grams:
         if len(flat) < n:
@@ -114,97 +98,119 @@ def _block_features(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarr
         owners.append(owner[: len(h)][inside])
     at, who = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
-    return at[order], np.searchsorted(who[order], np.arange(len(texts)))
+    return at[order], np.searchsorted(who[order], np.arange(len(words)))
 
 
 class Model:
-    """Weights of the binary classifiers, codewords and how far each bit is to be trusted."""
+    """Weights of the binary classifiers, codewords and how far each bit is to be trusted.
+
+    A sentence's margins are the sums of its words' margins, so each word is looked at once and kept, up to a bound.
+    """
+
+    KEEP = 100_000
 
     def __init__(self, settings: Settings):
         self.s = settings
         self.code = codewords(len(settings.languages), settings.bits)
         self.w = np.zeros((settings.dims, settings.bits), np.float32)
         self.trust = np.ones(settings.bits, np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.vectors = np.zeros((0, self.s.bits + 1), np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"index": {}, "vectors": self.vectors[:0]}
 
-    def fit(self, texts: list[str], labels: list[str], documents: list[int]) -> Model:
-        """Fit on sentences, their documents and the documents' labels, some of which are wrong.
+    def fit(self, texts: list[list[str]], labels: list[str], documents: list[int]) -> Model:
+        """Fit on sentences' words, their documents and the documents' labels, some of which are wrong.
 
         After the first round a document's label gives way to the language its sentences vote for, and a long sentence
         that is surely in another language than its document's gets its own label.
         """
-        index = {k: i for i, k in enumerate(self.s.languages)}
-        cleaned = [content(t) for t in texts]
-        at, starts = features(cleaned, self.s)
-        y, doc = np.array([index[x] for x in labels]), np.array(documents)
-        sizes = np.diff([*starts, len(at)])
-        words = np.array([len(WORD.findall(t)) for t in texts])
+        number = {k: i for i, k in enumerate(self.s.languages)}
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        at, starts = word_grams(list(vocabulary), self.s)
+        grams = np.diff([*starts, len(at)])
+        flat = np.array([vocabulary[w] for t in texts for w in t])
+        words = np.array([len(t) for t in texts])
+        y, doc = np.array([number[x] for x in labels]), np.array(documents)
         for last in (False, False, True):
-            who = np.repeat(y, sizes)
-            counts = np.stack([np.bincount(at[who == c], minlength=self.s.dims) for c in range(len(index))]).astype(np.float64)
+            classes = np.repeat(y, words)
+            counts = np.stack([np.bincount(at, np.repeat(np.bincount(flat[classes == c], minlength=len(vocabulary)), grams), self.s.dims) for c in range(len(number))])
             p = (counts + self.s.smooth) / (counts.sum(1, keepdims=True) + self.s.smooth * self.s.dims)
             for b in range(self.s.bits):
                 one = self.code[:, b] > 0
                 self.w[:, b] = np.log(p[one].mean(0)) - np.log(p[~one].mean(0))
-            margin = self._sums(at, starts)
+            self._forget()
+            margin, sizes = self._margins(texts)
             error = np.clip(1 - (margin * self.code[y] > 0).mean(0), 1e-3, 0.49)
             self.trust = np.log((1 - error) / error).astype(np.float32)
             self.trust /= self.trust.mean()
             if not last:
                 best, share = self._decode(margin, sizes)
-                votes = np.zeros((doc.max() + 1, len(index)))
+                votes = np.zeros((doc.max() + 1, len(number)))
                 np.add.at(votes, doc, share * np.minimum(words, 40)[:, None])
                 main = votes.argmax(1)[doc]
                 y = np.where((best != main) & (share[np.arange(len(y)), best] >= self.s.proof) & (words >= 8), best, main)
         return self
 
-    def _sums(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        out = np.empty((len(starts), self.s.bits), np.float32)
-        bounds = [*starts.tolist(), len(at)]
-        for i in range(0, len(starts), 1024):  # a bounded part of the gathered weights at a time
-            j = min(i + 1024, len(starts))
-            out[i:j] = np.add.reduceat(self.w[at[bounds[i] : bounds[j]]], np.asarray(bounds[i:j]) - bounds[i], axis=0)
-        return out
+    def _margins(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of all bits and the number of n-grams for each text, a list of words that isn't empty."""
+        if len(self.index) > self.KEEP:
+            self._forget()
+        new = list(dict.fromkeys(w for t in texts for w in t if w not in self.index))
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            at, starts = word_grams(part, self.s)
+            sums = np.add.reduceat(self.w[at], starts, axis=0)
+            self.index |= {w: len(self.vectors) + k for k, w in enumerate(part)}
+            self.vectors = np.vstack([self.vectors, np.c_[sums, np.diff([*starts, len(at)])].astype(np.float32)])
+        index = self.index
+        flat = np.fromiter((index[w] for t in texts for w in t), np.int64)
+        starts = np.cumsum([0, *map(len, texts)])[:-1]
+        total = np.add.reduceat(self.vectors[flat], starts, axis=0)
+        return total[:, :-1], total[:, -1]
 
     def _decode(self, margin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language and the probability-like share of all languages, by logistic loss of scaled margins."""
         z = margin / np.sqrt(np.maximum(sizes, 1))[:, None]
-        loss = np.stack([(np.logaddexp(0, -z * c) * self.trust).sum(1) for c in self.code], 1)
+        # log(1 + e**-cz) is log(1 + e**z) less z where c is 1: one logarithm for both signs, and a product
+        soft = np.logaddexp(0, z)
+        loss = (soft * self.trust).sum(1, keepdims=True) - (z * self.trust) @ ((self.code.T + 1) / 2)
         share = np.exp(-(loss - loss.min(1, keepdims=True)))
         return loss.argmin(1), share / share.sum(1, keepdims=True)
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and shares of all languages for each text; no letters: all alike."""
+    def score(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the language and shares of all languages for each text, a list of words that isn't empty."""
         if not texts:
             return np.zeros(0, int), np.zeros((0, len(self.s.languages)))
-        at, starts = features(texts, self.s)
-        return self._decode(self._sums(at, starts), np.diff([*starts, len(at)]))
+        return self._decode(*self._margins(texts))
 
 
 def tidy(text: str) -> str:
     """Joined hyphenated words, one kind of space, ligatures spelt out; addresses of mail and web left out."""
     text = unicodedata.normalize("NFKC", text.replace("\r", ""))
-    text = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "", text)
-    return NOISE.sub(" ", text)
+    if "-\n" in text:
+        text = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "", text)
+    return NOISE.sub(" ", text) if any(x in text for x in ("@", "://", "www.", "](", "&#64;", "at)", "at]", "at}", "dot")) else text
 
 
 def sentences(paragraph: str) -> list[str]:
-    return [re.sub(r"\s+", " ", s).strip() for s in SENTENCE.split(MARK.sub("\n- ", paragraph)) if s and not s.isspace()]
-
-
-def content(sentence: str) -> str:
-    """The sentence without capitalised words inside it, mostly names, if enough is left."""
-    words = WORD.findall(sentence)
-    kept = [w for i, w in enumerate(words) if i == 0 or not w[:1].isupper()]
-    return " ".join(kept) if len(kept) >= 3 else " ".join(words)
+    if "[" in paragraph:
+        paragraph = MARK.sub("\n- ", paragraph)
+    return [s.strip() for s in SENTENCE.split(paragraph) if s and not s.isspace()]
 
 
-def plain_words(sentence: str) -> int:
-    return sum(w[:1].islower() for w in WORD.findall(sentence))
+def content(words: list[str]) -> list[str]:
+    """A sentence's words in small letters without capitalised ones inside it, mostly names, if enough is left."""
+    kept = [w.lower() for i, w in enumerate(words) if i == 0 or not w[:1].isupper()]
+    return kept if len(kept) >= 3 else [w.lower() for w in words]
 
 
-def is_full(sentence: str) -> bool:
+def is_full(sentence: str, words: int, plain: int) -> bool:
     """Ends like a sentence and has a few words, most of them not names or labels."""
-    words, plain = len(WORD.findall(sentence)), plain_words(sentence)
     return words >= 3 and plain >= 2 and plain * 2 >= words - 2 and sentence.rstrip("\"'»”)* ").endswith((".", "!", "?", "…", ":", ";"))
 
 
@@ -224,8 +230,8 @@ def fit_model(samples: DataFrame, *labelled: tuple[DataFrame, str, str, str], se
         label = canonical(raw)
         if label in s.languages and t:
             for sentence in sentences(tidy(t)):
-                if len(WORD.findall(sentence)) >= 3:
-                    texts.append(sentence)
+                if len(words := WORD.findall(sentence)) >= 3:
+                    texts.append(content(words))
                     labels.append(label)
                     documents.append(n)
     return Model(s).fit(texts, labels, documents) if len(set(labels)) > 1 else Model(s)
@@ -258,36 +264,41 @@ COLUMNS = ["key", "para_no", "lang", "confidence", "ambiguous", "mixed", "letter
 
 
 def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.DataFrame:
-    every: list[str] = []
+    every: list[list[str]] = []
+    words: list[int] = []
+    plain: list[int] = []
     pages = []  # (key, [(para_no, letters, [(index of sentence, full?)])])
     for key, text in zip(batch["key"], batch["text"], strict=True):
         paragraphs = []
         for no, p in enumerate(BLANK.split(text.replace("\r\n", "\n")), 1):
-            t = tidy(p)
             found = []
-            for sentence in sentences(t):
-                if WORD.search(sentence):
-                    found.append((len(every), is_full(sentence)))
-                    every.append(sentence)
-            paragraphs.append((no, sum(map(str.isalpha, MARK.sub("", p))), found))
+            for sentence in sentences(tidy(p)):
+                if ws := WORD.findall(sentence):
+                    n, small = len(ws), sum(w[0].islower() for w in ws)
+                    found.append((len(every), is_full(sentence, n, small)))
+                    every.append(content(ws))
+                    words.append(n)
+                    plain.append(small)
+            bare = MARK.sub("", p)
+            paragraphs.append((no, sum(map(len, WORD.findall(bare))) - bare.count("'") - bare.count("’"), found))
         pages.append((key, paragraphs))
-    best, share = m.score([content(s) for s in every])
-    words = np.array([len(WORD.findall(s)) for s in every])
+    best, share = m.score(every)
+    weights, logs = np.minimum(np.array(words), 40)[:, None], np.log(share + 1e-4)
     rows = []
     langs = m.s.languages
     for key, paragraphs in pages:
         index = [i for _, _, found in paragraphs for i, _ in found]
         if not index:
             continue
-        weight = np.minimum(words[index], 40)[:, None]
-        total = (np.log(share[index] + 1e-4) * weight).sum(0)
+        weight = weights[index]
+        total = (logs[index] * weight).sum(0)
         votes = (share[index] * weight).sum(0)
         main = int(votes.argmax())
         rest = np.sort(total - total.max())
         confidence = float(votes[main] / votes.sum())
         stretches = []
         languages = set()
-        proven = {int(best[i]) for _, _, found in paragraphs for i, full in found if full and share[i, best[i]] >= m.s.proof and plain_words(every[i]) >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
+        proven = {int(best[i]) for _, _, found in paragraphs for i, full in found if full and share[i, best[i]] >= m.s.proof and plain[i] >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
         for no, letters, found in paragraphs:
             here: dict[int, list[float]] = {}
             for i, full in found:
