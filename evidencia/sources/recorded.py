@@ -68,9 +68,9 @@ def json_object(text: Column) -> Column:
 def capped_text(pages: DataFrame, doc: str, page_no: str, text: str, cap: int = 250_000) -> DataFrame:
     """(doc, text, pages): page texts under their markers, cut at `cap` characters a document."""
     w = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.length(text)).over(w)
-    part = F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.lit(cap) - (upto - F.length(text))).cast("int"))
-    marked = pages.withColumn("__part", F.concat(F.lit("[PDF page "), F.col(page_no), F.lit("]\n"), part)).where(upto - F.length(text) < cap)
+    running = pages.withColumn("__before", F.sum(F.length(text)).over(w) - F.length(text)).where(F.col("__before") < cap)
+    part = F.substring(F.col(text), F.lit(1), (F.lit(cap) - F.col("__before")).cast("int"))
+    marked = running.withColumn("__part", F.concat(F.lit("[PDF page "), F.col(page_no), F.lit("]\n"), part))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page_no, "__part"))), lambda x: x["__part"]), "\n\n")
     return marked.groupBy(doc).agg(joined.alias("text"), F.count("*").alias("pages"))
 
