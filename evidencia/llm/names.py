@@ -332,18 +332,20 @@ def nickname_map(pairs: list[tuple[str, str]]) -> dict[str, frozenset[str]]:
 def _shards(token: str) -> list[tuple[str, str]]:
     """(shard, role) of a token in a scope too large for one trie: two tokens within their bound share a shard.
 
-    One edit leaves the first or the last letters alone, two leave the first, the last or the middle three.
+    One edit leaves the first or the last letters alone. Two leave the first, the last or the middle ones, as these
+    lie apart and a swap breaks only one of them; the middle may have moved. Lengths at a limit belong to both sides.
     """
     n = len(token)
     out = []
     if n <= 7:
         out += [("p" + token[:1], "both"), ("s" + token[-1:], "both")]
-    if n >= 6:
+    if 7 <= n <= 9:
         out += [("P" + token[:3], "both"), ("S" + token[-3:], "both")]
-    if n >= 8:
-        middle = (n - 3) // 2
-        out.append(("M" + token[middle : middle + 3], "index"))
-        out += [("M" + token[i : i + 3], "query") for i in range(max(0, middle - 3), min(n - 2, middle + 4))]
+    for kind, size, fits in (("2", 2, 9 <= n <= 13), ("3", 3, n >= 12)):
+        if fits:
+            middle = (n - size) // 2
+            out += [(f"p{kind}" + token[:size], "both"), (f"s{kind}" + token[-size:], "both"), (f"m{kind}" + token[middle : middle + size], "index")]
+            out += [(f"m{kind}" + token[i : i + size], "query") for i in range(max(0, middle - 3), min(n - size + 1, middle + 4))]
     return out
 
 
