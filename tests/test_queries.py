@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from evidencia.plans import catalog
+from evidencia.plans import catalog, evidence  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
