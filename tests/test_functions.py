@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidencia.functions import contacts, names, urls
+from evidencia.functions import contacts, names, profiles, urls
 
 
 def column(spark, f, values):
@@ -95,3 +95,23 @@ def test_flattened(spark):
 @pytest.mark.parametrize("channel,value,want", [("email", " A@B.test ", "a@b.test"), ("phone", "00 44 20", "4420"), ("linkedin", "https://linkedin.com/in/X/", "https://www.linkedin.com/in/x"), ("linkedin", "other", "other"), ("whatsapp", " +1 ", "+1")])
 def test_canonical(spark, channel, value, want):
     assert spark.range(1).select(contacts.canonical(F.lit(channel), F.lit(value))).first()[0] == want
+
+
+def test_profile_words(spark):
+    cases = {
+        "https://www.linkedin.com/in/pat-van-sample-1a2b": ("Pat van Sample", "1a2b"),
+        "https://linkedin.com/in/sales-manager": ("", ""),
+        "https://linkedin.com/in/kim_other/": ("Kim Other", ""),
+        "https://linkedin.com/in/patsample": ("", ""),
+        "https://linkedin.com/company/pat-sample": ("", ""),
+        "": ("", ""),
+    }
+    assert column(spark, profiles.name_from_profile, cases) == [v[0] for v in cases.values()]
+    assert column(spark, profiles.stable_id, cases) == [v[1] for v in cases.values()]
+
+
+def test_regions_and_patterns(spark):
+    assert column(spark, profiles.region, [" de ", "South  Korea", "西班牙", "Atlantis", None]) == ["DE", "KR", "ES", None, None]
+    for pattern in profiles.PATTERNS:
+        made = profiles.rendered(F.lit(pattern), F.lit("pat"), F.lit("sample"))
+        assert spark.range(1).select(profiles.pattern_of(made, F.lit("pat"), F.lit("sample"))).first()[0] == pattern
