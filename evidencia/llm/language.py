@@ -191,7 +191,9 @@ class Model:
 
 def tidy(text: str) -> str:
     """Joined hyphenated words, one kind of space, ligatures spelt out; addresses of mail and web left out."""
-    text = unicodedata.normalize("NFKC", text.replace("\r", ""))
+    text = text.replace("\r", "")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     if "-\n" in text:
         text = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "", text)
     return NOISE.sub(" ", text) if any(x in text for x in ("@", "://", "www.", "](", "&#64;", "at)", "at]", "at}", "dot")) else text
@@ -203,6 +205,10 @@ def sentences(paragraph: str) -> list[str]:
     return [s.strip() for s in SENTENCE.split(paragraph) if s and not s.isspace()]
 
 
+def letters_in(paragraph: str) -> int:
+    return sum(map(str.isalpha, MARK.sub("", paragraph)))
+
+
 def content(words: list[str]) -> list[str]:
     """A sentence's words in small letters without capitalised ones inside it, mostly names, if enough is left."""
     kept = [w.lower() for i, w in enumerate(words) if i == 0 or not w[:1].isupper()]
@@ -237,14 +243,14 @@ def fit_model(samples: DataFrame, *labelled: tuple[DataFrame, str, str, str], se
     return Model(s).fit(texts, labels, documents) if len(set(labels)) > 1 else Model(s)
 
 
-SCHEMA = "key {kind}, para_no int, lang string, confidence double, ambiguous boolean, mixed boolean, letters int"
+SCHEMA = "key {kind}, para_no int, lang string, confidence double, ambiguous boolean, mixed boolean"
 
 
 def segment(df: DataFrame, model: Model, key: str = "page_id", text: str = "markdown", least_letters: int = 40) -> DataFrame:
-    """(key, para_no, lang, confidence, ambiguous, mixed, letters): row 0 of each page, then its stretches.
+    """(key, para_no, lang, confidence, ambiguous, mixed): row 0 of each page, and the stretches of a page in several languages.
 
-    Row 0 is the page's main language. Stretches are the rows (paragraph, language) in which at least one full
-    sentence of that language stands; mixed tells whether the page has more than one. Null, empty and blank texts and
+    Row 0 is the page's main language; mixed tells whether it has more than one. Stretches are the rows (paragraph,
+    language) in which at least one full sentence of that language stands. Null, empty and blank texts and
     texts without letters give no row. Repeated rows give repeated results.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -260,14 +266,14 @@ def segment(df: DataFrame, model: Model, key: str = "page_id", text: str = "mark
     return source.mapInPandas(run, SCHEMA.format(kind=kind))
 
 
-COLUMNS = ["key", "para_no", "lang", "confidence", "ambiguous", "mixed", "letters"]
+COLUMNS = ["key", "para_no", "lang", "confidence", "ambiguous", "mixed"]
 
 
 def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.DataFrame:
     every: list[list[str]] = []
     words: list[int] = []
     plain: list[int] = []
-    pages = []  # (key, [(para_no, letters, [(index of sentence, full?)])])
+    pages = []  # (key, [(para_no, paragraph, [(index of sentence, full?)])])
     for key, text in zip(batch["key"], batch["text"], strict=True):
         paragraphs = []
         for no, p in enumerate(BLANK.split(text.replace("\r\n", "\n")), 1):
@@ -279,46 +285,47 @@ def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.Data
                     every.append(content(ws))
                     words.append(n)
                     plain.append(small)
-            bare = MARK.sub("", p)
-            paragraphs.append((no, sum(map(len, WORD.findall(bare))) - bare.count("'") - bare.count("’"), found))
+            paragraphs.append((no, p, found))
         pages.append((key, paragraphs))
     best, share = m.score(every)
-    weights, logs = np.minimum(np.array(words), 40)[:, None], np.log(share + 1e-4)
+    weights = np.minimum(np.array(words), 40)[:, None]
+    weighed, logs = share * weights, np.log(share + 1e-4) * weights
+    top, best = share.max(1, initial=0).tolist(), best.tolist()
     rows = []
     langs = m.s.languages
     for key, paragraphs in pages:
         index = [i for _, _, found in paragraphs for i, _ in found]
         if not index:
             continue
-        weight = weights[index]
-        total = (logs[index] * weight).sum(0)
-        votes = (share[index] * weight).sum(0)
+        votes, total = weighed[index].sum(0), np.sort(logs[index].sum(0))
         main = int(votes.argmax())
-        rest = np.sort(total - total.max())
         confidence = float(votes[main] / votes.sum())
-        stretches = []
-        languages = set()
-        proven = {int(best[i]) for _, _, found in paragraphs for i, full in found if full and share[i, best[i]] >= m.s.proof and plain[i] >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
-        for no, letters, found in paragraphs:
-            here: dict[int, list[float]] = {}
-            for i, full in found:
-                own, p = int(best[i]), float(share[i, best[i]])
-                # without good reason a sentence is in the language of its page
-                if own != main and (own not in proven or p < m.s.sure or p < 3 * share[i, main] or not full):
-                    own, p = main, float(share[i, main])
-                if full:
-                    here.setdefault(own, []).append(p)
-            for own, ps in here.items():
-                languages.add(own)
-                if letters >= least_letters:
-                    stretches.append((key, no, langs[own], float(np.mean(ps)), bool(np.mean(ps) < m.s.sure), letters))
-        mixed = len(languages | {main}) > 1
-        everything = sum(letters for _, letters, _ in paragraphs)
-        rows.append((key, 0, langs[main], confidence, bool(confidence < m.s.sure or rest[-2] > -1), mixed, everything))
-        rows += [(*x[:5], mixed, x[5]) for x in stretches]
+        # a second language is on the page if a long enough full sentence surely is in it
+        proven = {best[i] for _, _, found in paragraphs for i, full in found if full and top[i] >= m.s.proof and plain[i] >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
+        stretches = _stretches(paragraphs, main, proven, best, top, share, m.s.sure) if len(proven) > 1 else []
+        mixed = len({own for _, _, own, _ in stretches} | {main}) > 1
+        rows.append((key, 0, langs[main], confidence, bool(confidence < m.s.sure or total[-1] - total[-2] < 1), mixed))
+        if mixed:
+            rows += [(key, no, langs[own], c, c < m.s.sure, True) for no, paragraph, own, c in stretches if letters_in(paragraph) >= least_letters]
     return pd.DataFrame(rows, columns=COLUMNS)
 
 
+def _stretches(paragraphs: list, main: int, proven: set[int], best: list[int], top: list[float], share: np.ndarray, sure: float) -> list[tuple[int, str, int, float]]:
+    """(para_no, paragraph, language, mean share) for each paragraph and each language with a full sentence in it."""
+    out = []
+    for no, paragraph, found in paragraphs:
+        here: dict[int, list[float]] = {}
+        for i, full in found:
+            own, p = best[i], top[i]
+            # without good reason a sentence is in the language of its page
+            if own != main and (own not in proven or p < sure or p < 3 * share[i, main]):
+                own, p = main, float(share[i, main])
+            if full:
+                here.setdefault(own, []).append(p)
+        out += [(no, paragraph, own, sum(ps) / len(ps)) for own, ps in here.items()]
+    return out
+
+
 def wrong_labels(df: DataFrame, model: Model, key: str = "page_id", text: str = "markdown", label: str = "declared_lang") -> DataFrame:
     """Rows of `segment` that tell more than the label: row 0 of pages in one language whose label is missing or wrong,
     and the stretches of pages in several. key must be unique."""
