@@ -69,3 +69,17 @@ def bounded_broadcast(df: DataFrame, rows: int, what: str) -> DataFrame:
     """Broadcast df after counting it: beyond `rows` rows it stays an ordinary join side."""
     n = df.limit(rows + 1).count()
     return F.broadcast(df) if n <= rows else df.hint("shuffle_hash")
+
+
+def hash_sample(df: DataFrame, key: Column, n: int, spare: int = 8) -> DataFrame:
+    """At most n rows of df, those of least key hash: the same rows however df is partitioned.
+
+    Only rows under a hash bound that leaves about spare * n of them are put in order, so that tasks send a few rows
+    each to the driver, whatever the size of df; filters that df applies after its scan may leave fewer than n.
+    """
+    h = free_name(df, "__h")
+    hashed = df.withColumn(h, F.xxhash64(key))
+    total = df.count()
+    if total > spare * n:
+        hashed = hashed.where(F.shiftrightunsigned(h, 33) < int(spare * n / total * 2**31))
+    return hashed.orderBy(h).limit(n).drop(h)
