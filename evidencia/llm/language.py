@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import col
+from ..runtime import col, hash_sample
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru")
 
@@ -68,7 +68,7 @@ def codewords(n: int, bits: int = 15) -> np.ndarray:
 class Settings:
     """sample: labelled documents the classifiers are fitted on, at most; chars: of each of these, at most."""
 
-    sample: int = 800
+    sample: int = 1000
     chars: int = 2500
     dims: int = 1 << 16
     grams: tuple[int, ...] = (1, 2, 3, 4, 5)
@@ -229,8 +229,9 @@ def fit_model(samples: DataFrame, *labelled: tuple[DataFrame, str, str, str], se
     s = settings or Settings()
     rows = [tuple(r) for r in samples.select(col(samples, text), col(samples, lang)).limit(s.sample).collect()]
     for table, key, body, label in labelled:
-        known = table.select(F.substring(col(table, body), 1, s.chars).alias("t"), label_language(col(table, label)).alias("l"), F.xxhash64(col(table, key)).alias("h"))
-        rows += [tuple(r) for r in known.where("l is not null and trim(t) <> ''").orderBy("h", "t").limit(s.sample).select("t", "l").collect()]
+        known = table.select(F.substring(col(table, body), 1, s.chars).alias("t"), label_language(col(table, label)).alias("l"), col(table, key).alias("k"))
+        sample = hash_sample(known, F.struct("k", "l"), s.sample).where("l is not null and trim(t) <> ''")
+        rows += [tuple(r) for r in sample.select("t", "l").collect()]
     texts, labels, documents = [], [], []
     for n, (t, raw) in enumerate(rows):
         label = canonical(raw)
