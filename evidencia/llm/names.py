@@ -133,7 +133,7 @@ def words_of(form: str) -> list[str]:
 
 def bound(n: int) -> int:
     """Edits allowed in a token of n letters."""
-    return 0 if n <= 3 else 1 if n <= 8 else 2
+    return 0 if n <= 3 else 1 if n <= 7 else 2
 
 
 class Trie:
@@ -222,8 +222,8 @@ class Matcher:
             return 0.0
         if self.nicknames.get(fa, frozenset([fa])) & self.nicknames.get(fb, frozenset([fb])):
             return 0.1
-        if (fa in self.nicknames) != (fb in self.nicknames) and self._given(fa) & self._given(fb):
-            return 1.0
+        if not (fa in self.nicknames and fb in self.nicknames) and self._given(fa) & self._given(fb):
+            return 1.0 if fa in self.nicknames or fb in self.nicknames else 1.5
         na, nb = df.get(fa, 1), df.get(fb, 1)
         short, long = sorted((fa, fb), key=len)
         n_long = df.get(long, 1)
@@ -237,7 +237,13 @@ class Matcher:
             return None
         less, more = sorted((na, nb))
         # two spellings that several scopes use are two names
-        return float(d) if less <= 1 or less * 20 <= more or d == 1 and less * 8 <= more else None
+        return float(d) if less <= 1 or less * 8 <= more and (d == 1 or less * 20 <= more) else None
+
+    def _begins(self, initial: str, word: str, cyrillic: bool) -> bool:
+        """An initial of the word or of a given name that the word is a short form of."""
+        if word[0] == initial or cyrillic and folded(word)[0] == folded(initial)[0]:
+            return True
+        return any(g[0] == folded(initial) for g in self.nicknames.get(folded(word), ()))
 
     def match(self, x: str, y: str, df: dict[str, int]) -> str | None:
         """'same', 'x' or 'y' (the one that says less and fits the other), or None."""
@@ -249,7 +255,8 @@ class Matcher:
         tx, ty = tx.replace("c~", "").split(), ty.replace("c~", "").split()
         px = [(p, t.endswith("."), "-" in t) for t in tx for p in t.rstrip(".").split("-")]
         py = [(p, t.endswith("."), "-" in t) for t in ty for p in t.rstrip(".").split("-")]
-        swapped = len([p for p in px if len(p[0]) > 1]) > len([p for p in py if len(p[0]) > 1]) or (len(px) > len(py) and sum(len(p[0]) > 1 for p in px) == sum(len(p[0]) > 1 for p in py))
+        said = lambda ps: (len(ps), sum(len(p[0]) > 1 for p in ps))
+        swapped = said(px) > said(py)
         small, large = (py, px) if swapped else (px, py)
         if not 1 <= len(small) <= len(large) <= 6:
             return "same" if x == y else None
@@ -260,13 +267,12 @@ class Matcher:
 
         def place(i: int, used: int, cost: float, initials: int, words: int, letters: int, dropped: int) -> None:
             nonlocal best
-            if best is not None and cost + initials >= best[0] + best[1] and dropped >= best[5]:
-                return
             if i == len(small):
                 rest = [p for j, p in enumerate(large) if not used >> j & 1]
-                candidate = (cost, initials, words, letters, rest, dropped)
-                if best is None or (cost + initials + dropped, len(rest)) < (best[0] + best[1] + best[5], len(best[4])):
-                    best = candidate
+                # words left over weigh more than initials that stand for words
+                weight = (sum(len(p[0]) > 1 and not p[2] for p in rest), cost + initials + dropped, len(rest))
+                if best is None or weight < best[6]:
+                    best = (cost, initials, words, letters, rest, dropped, weight)
                 return
             t, abbreviated, _ = small[i]
             for j, (u, short_u, _) in enumerate(large):
@@ -275,7 +281,7 @@ class Matcher:
                 if len(t) == 1 or len(u) == 1:
                     if t == u:
                         place(i + 1, used | 1 << j, cost, initials, words, letters, dropped)
-                    elif (len(u) > 1 and (u[0] == t or cyrillic and folded(u)[0] == folded(t)[0])) or (len(t) > 1 and len(u) == 1 and (t[0] == u or cyrillic and folded(t)[0] == folded(u)[0])):
+                    elif len(t) + len(u) > 2 and self._begins(*sorted((t, u), key=len), cyrillic):
                         place(i + 1, used | 1 << j, cost, initials + 1, words, letters, dropped)
                     continue
                 if (abbreviated and u.startswith(t) or short_u and t.startswith(u)) and min(len(t), len(u)) >= 3:
@@ -290,7 +296,7 @@ class Matcher:
         place(0, 0, 0.0, 0, 0, 0, 0)
         if best is None:
             return None
-        cost, initials, words, letters, rest, dropped = best
+        cost, initials, words, letters, rest, dropped, _ = best
         rest_words, rest_initials = [p for p in rest if len(p[0]) > 1], [p for p in rest if len(p[0]) == 1]
         if shortened:
             rest_words = [p for p in rest_words if df.get(folded(p[0]), 1) < self.common]
@@ -339,9 +345,9 @@ def _shards(token: str) -> list[tuple[str, str]]:
     out = []
     if n <= 7:
         out += [("p" + token[:1], "both"), ("s" + token[-1:], "both")]
-    if 7 <= n <= 9:
+    if 7 <= n <= 8:
         out += [("P" + token[:3], "both"), ("S" + token[-3:], "both")]
-    for kind, size, fits in (("2", 2, 9 <= n <= 13), ("3", 3, n >= 12)):
+    for kind, size, fits in (("2", 2, 8 <= n <= 13), ("3", 3, n >= 12)):
         if fits:
             middle = (n - size) // 2
             out += [(f"p{kind}" + token[:size], "both"), (f"s{kind}" + token[-size:], "both"), (f"m{kind}" + token[middle : middle + size], "index")]
