@@ -81,5 +81,5 @@ def hash_sample(df: DataFrame, key: Column, n: int, spare: int = 8) -> DataFrame
     hashed = df.withColumn(h, F.xxhash64(key))
     total = df.count()
     if total > spare * n:
-        hashed = hashed.where(F.shiftrightunsigned(h, 33) < int(spare * n / total * 2**31))
+        hashed = hashed.where(F.col(h) < -(2**63) + spare * n * 2**64 // total)
     return hashed.orderBy(h).limit(n).drop(h)
