@@ -38,7 +38,7 @@ BY_NOTATION = {w: k for k, ws in NOTATIONS.items() for w in ws.split()}
 
 MARK = re.compile(r"\[PDF page \d+\]")
 BLANK = re.compile(r"\n\s*\n")
-NOISE = re.compile(r"\S+\s?(?:[@＠]|&#64;|[(\[{]\s?at\s?[)\]}])\s?\S+(?:\s?[(\[{]\s?dot\s?[)\]}]\s?\S+)*|\S+ at \S+ dot \S+|\S*(?:://|www\.)\S*|\]\([^)\s]*\)", re.IGNORECASE)
+NOISE = re.compile(r"\S+\s?(?:[@＠]|&#64;|[(\[{]\s?at\s?[)\]}])\s?\S+(?:\s*[(\[{]\s?dot\s?[)\]}]\s*\S+)*|\S+\s+at\s+\S+\s+dot\s+\S+|\S*(?:://|www\.)\S*|\]\([^)\s]*\)", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?…:;])[\"'»”)]*\s+(?=[^\W\d_a-zà-ÿа-яёąćęłńóśźż]|[¿¡«\"„*#>-])|\n(?=\s*(?:[#*>|-]|\d+\.)\s)|\|")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -210,8 +210,13 @@ def letters_in(paragraph: str) -> int:
 
 
 def content(words: list[str]) -> list[str]:
-    """A sentence's words in small letters without capitalised ones inside it, mostly names, if enough is left."""
+    """A sentence's words in small letters without capitalised ones inside it, mostly names, if enough is left.
+
+    The first word goes too if the next is capitalised, as in a full name, and five words remain.
+    """
     kept = [w.lower() for i, w in enumerate(words) if i == 0 or not w[:1].isupper()]
+    if len(kept) >= 6 and words[0][:1].isupper() and words[1][:1].isupper():
+        del kept[0]
     return kept if len(kept) >= 3 else [w.lower() for w in words]
 
 

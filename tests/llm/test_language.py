@@ -41,6 +41,13 @@ def test_held_out_sentences(model):
     assert np.allclose(share.sum(1), 1)
 
 
+def test_names_and_addresses_say_nothing_of_the_language():
+    words = p3.WORD.findall("Concepción Ardemayr notou a trinca e ligou para o turno")
+    assert p3.content(words)[0] == "notou"
+    assert p3.content("Der Ofen ist neu".split()) == ["der", "ist", "neu"]
+    assert p3.tidy("Somente por escrito:  info at      fabrika dot invalid.").strip() == "Somente por escrito:"
+
+
 def test_segments(spark, model):
     rows = [(1, EN, "de"), (2, f"{EN}\n\n{FR}\n\n{EN}", "en"), (3, None, "en"), (4, " \n", "en"), (5, "12 34", "en"), (6, EN, "en-GB"), (7, "", None), (8, f"{EN}\n\n{EN} {FR}", None)]
     df = spark.createDataFrame(rows, "page_id long, markdown string, declared_lang string")
