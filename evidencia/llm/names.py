@@ -452,10 +452,8 @@ def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", na
     common = max(4, int(scopes * share))
     known = words.join(counts, "token").groupBy("scope", "id", "form").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "n"))).alias("tokens"))
     known = cut(known)
-    # tokens that join: all but the common ones, or all where there are no others
-    rare = F.filter("tokens", lambda t: (t["n"] < common) & (F.length(t["token"]) >= 3))
-    anchors = F.when(F.size(rare) > 0, rare).otherwise(F.col("tokens"))
-    each = known.select("scope", "id", "form", F.transform("tokens", lambda t: t["n"]).alias("counts"), F.explode(F.array_distinct(F.transform(anchors, lambda t: t["token"]))).alias("token"))
+    # every token joins, common ones too: two forms may share no other that is within the bound
+    each = known.select("scope", "id", "form", F.transform("tokens", lambda t: t["n"]).alias("counts"), F.explode(F.array_distinct(F.transform("tokens", lambda t: t["token"]))).alias("token"))
     sizes = each.groupBy("scope").agg(F.count("*").alias("size")).where(F.col("size") > large).select(F.col("scope").alias("__s"), F.lit(True).alias("__large"))
     # so many large scopes can't be more than all tokens / large
     placed = each.join(bounded_broadcast(sizes, 100_000, "large scopes"), F.col("scope") == F.col("__s"), "left").drop("__s")

@@ -93,3 +93,13 @@ def test_nulls_empty_and_pairs(spark):
     pairs = p1.same_entity_pairs(p1.link_names(df))
     assert [tuple(r) for r in pairs.collect()] == [(4, 5)] and pairs.columns == ["dup_id_a", "dup_id_b"]
     assert p1.same_entity_pairs(p1.link_names(df.limit(0))).count() == 0
+
+
+def test_forms_that_share_only_a_common_token_are_compared(spark):
+    # 'miller' and 'robert' stand in many companies, 'bob' and 'xaver' in this one only
+    rows = [(1, 1, "Bob Miller", "", ""), (2, 1, "Robert Miller", "", ""), (3, 2, "Xaver Miller", "", ""), (4, 2, "X. Miller", "", "")]
+    rows += [(100 + i, 50 + i, f"{n} Miller", "", "") for i, n in enumerate(["Robert"] * 6 + ["Jana", "Joris"])]
+    for large in (2000, 1):
+        got = linked(spark, rows, large=large)
+        assert got[1] == got[2] and got[3] == got[4]
+        assert got[1] != got[3] and len({got[i] for i in range(100, 108)}) == 8
