@@ -3,7 +3,7 @@
 Names of one scope (here a company) are cut into tokens. Shards of tokens become tries; a bit-parallel Levenshtein
 automaton with transpositions walks a trie and yields every token within its bound. For each such neighbour the two
 names are checked under permutations of their tokens: equal tokens, nicknames, initials, abbreviations and misspelt
-tokens may stand for one another. How many scopes use a token tells misspellings from names that are merely alike.
+tokens may stand for one another; names of more than six parts by an assignment of least cost. How many scopes use a token tells misspellings from names that are merely alike.
 """
 
 from __future__ import annotations
@@ -195,6 +195,44 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most + 1)
 
 
+#: Costs above all that the parts of two names may add up to, and above any number of these.
+MUCH, NEVER = 1e3, 1e9
+
+
+def assignment(costs: list[list[float]]) -> list[int]:
+    """The column of each row in an assignment of least cost (Hungarian method); not more rows than columns."""
+    n, m = len(costs), len(costs[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, way, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            done[j] = True
+            delta, to = float("inf"), 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    c = costs[row_of[j] - 1][k - 1] - u[row_of[j]] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
 class Matcher:
     """Whether two forms mean the same, by permutations of their tokens."""
 
@@ -258,13 +296,25 @@ class Matcher:
         said = lambda ps: (len(ps), sum(len(p[0]) > 1 for p in ps))
         swapped = said(px) > said(py)
         small, large = (py, px) if swapped else (px, py)
-        if not 1 <= len(small) <= len(large) <= 6:
-            return "same" if x == y else None
+        if not small:
+            return None
         best: tuple | None = None
 
         # an abbreviation may stand for more than one word of common use, as for all of a trade
         shortened = any(p[1] for p in px) != any(p[1] for p in py)
 
+        def fit(i: int, j: int) -> tuple[float, int, int, int] | None:
+            """What it takes to let part i stand for part j: (cost, initials, words, letters); None where it can't."""
+            (t, abbreviated, _), (u, short_u, _) = small[i], large[j]
+            if len(t) == 1 or len(u) == 1:
+                if t == u:
+                    return 0.0, 0, 0, 0
+                return (0.0, 1, 0, 0) if len(t) + len(u) > 2 and self._begins(*sorted((t, u), key=len), cyrillic) else None
+            if (abbreviated and u.startswith(t) or short_u and t.startswith(u)) and min(len(t), len(u)) >= 3:
+                return 0.3, 0, 1, len(t)
+            c = self._same_word(t, u, df, cyrillic)
+            return None if c is None else (c, 0, 1, len(t))
+
         def place(i: int, used: int, cost: float, initials: int, words: int, letters: int, dropped: int) -> None:
             nonlocal best
             if i == len(small):
@@ -274,26 +324,36 @@ class Matcher:
                 if best is None or weight < best[6]:
                     best = (cost, initials, words, letters, rest, dropped, weight)
                 return
-            t, abbreviated, _ = small[i]
-            for j, (u, short_u, _) in enumerate(large):
-                if used >> j & 1:
-                    continue
-                if len(t) == 1 or len(u) == 1:
-                    if t == u:
-                        place(i + 1, used | 1 << j, cost, initials, words, letters, dropped)
-                    elif len(t) + len(u) > 2 and self._begins(*sorted((t, u), key=len), cyrillic):
-                        place(i + 1, used | 1 << j, cost, initials + 1, words, letters, dropped)
-                    continue
-                if (abbreviated and u.startswith(t) or short_u and t.startswith(u)) and min(len(t), len(u)) >= 3:
-                    c = 0.3
-                else:
-                    c = self._same_word(t, u, df, cyrillic)
-                if c is not None:
-                    place(i + 1, used | 1 << j, cost + c, initials, words + 1, letters + len(t), dropped)
-            if len(t) == 1 and not dropped:  # a middle initial that the other leaves out
+            for j in range(len(large)):
+                if not used >> j & 1 and (got := fit(i, j)) is not None:
+                    c, n, w, m = got
+                    place(i + 1, used | 1 << j, cost + c, initials + n, words + w, letters + m, dropped)
+            if len(small[i][0]) == 1 and not dropped:  # a middle initial that the other leaves out
                 place(i + 1, used, cost, initials, words, letters, 1)
 
-        place(0, 0, 0.0, 0, 0, 0, 0)
+        def assign() -> None:
+            """place() for long names: the same weights as one assignment of least cost, in a time polynomial in the parts."""
+            nonlocal best
+            costs = []
+            for i in range(len(small)):
+                row = [fit(i, j) for j in range(len(large))]
+                if len(small[i][0]) > 1 and not any(row):
+                    return
+                # a word left over weighs more than all that the others may cost; the last column is the initial left out
+                whole = [len(p[0]) > 1 and not p[2] for p in large]
+                costs.append([NEVER if f is None else f[0] + f[1] - MUCH * w for f, w in zip(row, whole, strict=True)] + [1.0 + 1e-6 if len(small[i][0]) == 1 else NEVER])
+            to = assignment(costs)
+            if any(costs[i][j] >= NEVER for i, j in enumerate(to)):
+                return
+            fits = [fit(i, j) for i, j in enumerate(to) if j < len(large)]
+            cost, initials, words, letters = (sum(f[n] for f in fits) for n in range(4))
+            rest = [p for j, p in enumerate(large) if j not in to]
+            best = (cost, initials, words, letters, rest, int(len(large) in to), ())
+
+        if len(large) <= 6:
+            place(0, 0, 0.0, 0, 0, 0, 0)
+        else:
+            assign()
         if best is None:
             return None
         cost, initials, words, letters, rest, dropped, _ = best

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -103,3 +104,32 @@ def test_forms_that_share_only_a_common_token_are_compared(spark):
         got = linked(spark, rows, large=large)
         assert got[1] == got[2] and got[3] == got[4]
         assert got[1] != got[3] and len({got[i] for i in range(100, 108)}) == 8
+
+
+def test_assignment_equals_all_permutations():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 5)
+        costs = [[rng.choice([0.0, 0.3, 1.0, -1e3, 1e9]) for _ in range(n + rng.randint(0, 2))] for _ in range(n)]
+        costs = [(row + [1e9] * 9)[: len(costs[0])] for row in costs]
+        got = p1.assignment(costs)
+        assert len(set(got)) == n
+        best = min(sum(row[j] for row, j in zip(costs, to, strict=True)) for to in itertools.permutations(range(len(costs[0])), n))
+        assert sum(row[j] for row, j in zip(costs, got, strict=True)) == pytest.approx(best)
+
+
+LONG = [
+    ("Tuvikal Sebizon Norvak Furnace Technology Refractory Ceramics", "Tuvikall Sebizon Norvak Furnace Technology Refractory Ceramics", "same"),
+    ("Tuvikal Sebizon Norvak Furnace Technology Refractory Ceramics", "Ceramics Refractory Tuvikal Sebizon Norvak Furnace Technology", "same"),
+    ("Tuvikal Sebizon Norvak Furnace Technology Refractory Ceramics", "Tuvikal Sebizon Norvak Furnace Tech. Refractory Ceramics", "same"),
+    ("Tuvikal Sebizon Norvak Furnace Technology Refractory Ceramics", "Tuvikal Sebizon Norvak Furnace Technology Refractory Wanderlust", None),
+    ("Maria-Luisa Antonia K. L. M. Vikor-Samplemayr", "Maria-Luisa Antonia K. L. M. Vikor-Samplemair", "same"),
+    ("Maria-Luisa Antonia K. L. M. Vikor-Samplemayr", "Maria-Luisa Antonia K. L. Vikor-Samplemayr", "same"),
+]
+
+
+@pytest.mark.parametrize("a,b,kind", LONG)
+def test_names_of_more_than_six_parts(a, b, kind):
+    matcher = p1.Matcher(p1.nickname_map([]), 4)
+    x, y = p1.parse(a), p1.parse(b)
+    assert matcher.match(x, y, {}) == kind and matcher.match(y, x, {}) == kind
