@@ -145,15 +145,14 @@ def page_units(df: DataFrame, key: str, text: str, url: str, title: str, error:
     page = page.withColumn("body", F.when(F.col("gone").isNull(), F.col("text")).otherwise(body))
     dropped = F.expr("filter(transform(split(text, '\\n', -1), (l, i) -> if(array_contains(gone, cast(i + 1 as int)), l, '')), x -> x != '')")
     page = page.withColumn("us", F.coalesce(units(F.col("body")), F.array().cast("array<string>")))
-    # A page with several long units, or with many of middle length, has real content whatever else it says, unless
-    # they are filler or unfilled: then it needs no detectors, and its short units only show what stands beside content.
-    page = page.withColumn("small", F.lower("body"))
-    filler = F.contains("small", F.lit("ipsum")) | F.contains("small", F.lit("dolor")) | F.contains("small", F.lit("amet")) | F.contains("small", F.lit("donec"))
-    above = lambda n: F.size(F.filter("us", lambda u: (F.length(u) >= n) & ~(u.rlike(HOLE) & u.rlike(PLACEHOLDER))))
-    page = page.withColumn("thin", F.coalesce(filler, F.lit(False)) | ((above(LONG) <= low) & (above(LONG // 2) <= 4 * low)))
+    # A page has real content whatever else it says once the detectors leave more than `low` of its units as text. Its
+    # first long units mostly show that; only where they don't are all its units needed.
+    first = F.slice(F.filter("us", lambda u: F.length(u) >= LONG // 2), 1, low + 3)
+    page = page.withColumn("thin", F.size(F.filter(kinds(measured(first)), lambda u: u["kind"] == "text")) <= low)
     dropped_units = F.filter(kinds(measured(dropped)), lambda u: u["kind"] == "residue")  # a message that a whole site repeats is still a message
     own = kinds(measured(F.col("us")))
-    aside = F.transform(F.filter("us", lambda u: F.length(u) < LONG), lambda u: F.struct(F.lit("aside").alias("kind"), F.lit(0).alias("words"), identity(u).alias("id")))
+    # the units of the others only show what stands beside content
+    aside = F.transform("us", lambda u: F.struct(F.lit("aside").alias("kind"), F.lit(0).alias("words"), identity(u).alias("id")))
     page = page.withColumn("units", F.when(F.col("thin"), F.concat(own, F.when(F.col("gone").isNull(), F.array()).otherwise(dropped_units))).otherwise(aside))
     slug = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
     terms = F.filter(_words(F.concat_ws(" ", F.regexp_replace(slug, r"(?i)\.pdf$", ""), F.regexp_replace("title", r"(?i)\.pdf", " "))), lambda w: F.length(w) >= 4)

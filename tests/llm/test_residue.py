@@ -17,6 +17,16 @@ CASES = {
 }
 
 
+#: Nine or more units of middle length, or three long ones, that are all residue.
+MANY = [
+    "Beispieltext für den Absatz auf der linken Seite des Blattes.\n\n" * 10,
+    "Aquí va su texto de relleno para la columna de la derecha.\n\n" * 9,
+    "".join(f"The server reports error 50{i} and asks you to try again after some time.\n\n" for i in range(10)),
+    "".join(f"Please log in with the account of section {i} to read this document here.\n\n" for i in range(10)),
+    "Beispieltext Aufbereitungsanlagenbeschreibung Feuerfesterzeugnisherstellung Qualitätssicherungsvereinbarung Wareneingangsprüfung.\n\n" * 3,
+]
+
+
 def found(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, title string, error string, markdown string, units string")
     return {r[0] for r in p5.find_residue(df).collect()}
@@ -27,6 +37,19 @@ def test_cases(spark):
     assert found(spark, rows) == {i for i, want in enumerate(CASES.values()) if want}
 
 
+def test_long_pages_of_residue(spark):
+    rows = [(i, f"https://s{i}.test/files/a{i}.pdf", None, None, t, "u") for i, t in enumerate(MANY)]
+    rows += [(10 + i, f"https://t{i}.test/files/b{i}.pdf", None, None, t + REAL, "u") for i, t in enumerate(MANY)]
+    assert found(spark, rows) == set(range(len(MANY)))
+
+
+def test_a_long_unit_that_stands_beside_content_elsewhere_is_no_residue(spark):
+    legal = "the crucibles of this sheet are made of clay and graphite and fired twice in the old kiln before they leave the yard"
+    rows = [(i, f"https://s{i}.test/files/a{i}.pdf", None, None, f"Page introuvable\n\n{legal}", "u") for i in range(2)]
+    assert found(spark, rows) == {0, 1}
+    assert found(spark, rows + [(7, "https://t.test/files/b.pdf", None, None, f"{REAL} {REAL} {REAL}\n\n{legal}", "u")]) == set()
+
+
 def test_blank_pages_count_with_an_error_only(spark):
     rows = [(1, "u", None, "HTTP 404", None, ""), (2, "u", None, "HTTP 404", " \n\xa0", ""), (3, "u", None, "", "", ""), (4, "u", None, None, None, ""), (5, None, None, " ", None, "")]
     assert found(spark, rows) == {1, 2}
