@@ -279,6 +279,7 @@ def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.Data
     every: list[list[str]] = []
     words: list[int] = []
     plain: list[int] = []
+    cyrillic: list[bool | None] = []
     pages = []  # (key, [(para_no, paragraph, [(index of sentence, full?)])])
     for key, text in zip(batch["key"], batch["text"], strict=True):
         paragraphs = []
@@ -291,6 +292,8 @@ def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.Data
                     every.append(content(ws))
                     words.append(n)
                     plain.append(small)
+                    of = {"а" <= c <= "я" or c == "ё" for c in sentence.lower() if c.isalpha()}
+                    cyrillic.append(of.pop() if len(of) == 1 else None)
             paragraphs.append((no, p, found))
         pages.append((key, paragraphs))
     best, share = m.score(every)
@@ -306,8 +309,20 @@ def _segment_batch(batch: pd.DataFrame, m: Model, least_letters: int) -> pd.Data
         votes, total = weighed[index].sum(0), np.sort(logs[index].sum(0))
         main = int(votes.argmax())
         confidence = float(votes[main] / votes.sum())
-        # a second language is on the page if a long enough full sentence surely is in it
-        proven = {best[i] for _, _, found in paragraphs for i, full in found if full and top[i] >= m.s.proof and plain[i] >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
+        # a second language is on the page if a long enough full sentence surely is in it, or a shorter one whose script
+        # isn't that of the page's language, or if several shorter ones are long enough and sure enough together
+        full = [i for _, _, found in paragraphs for i, whole in found if whole]
+        proven = {best[i] for i in full if top[i] >= m.s.proof and plain[i] >= m.s.proof_words and words[i] > m.s.proof_words} | {main}
+        other = {tuple(every[i]): i for i in full if best[i] not in proven and top[i] >= m.s.sure}
+        for own in {best[i] for i in other.values()}:
+            at = [i for i in other.values() if best[i] == own]
+            russian = langs[own] == "ru"
+            if russian != (langs[main] == "ru") and any(cyrillic[i] is russian for i in at):
+                proven.add(own)
+            elif len(at) > 1 and sum(plain[i] for i in at) >= m.s.proof_words and sum(words[i] for i in at) > m.s.proof_words:
+                joint = np.exp((total_log := np.log(share[at] + 1e-4).sum(0)) - total_log.max())
+                if joint[own] >= m.s.proof * joint.sum():
+                    proven.add(own)
         stretches = _stretches(paragraphs, main, proven, best, top, share, m.s.sure) if len(proven) > 1 else []
         mixed = len({own for _, _, own, _ in stretches} | {main}) > 1
         rows.append((key, 0, langs[main], confidence, bool(confidence < m.s.sure or total[-1] - total[-2] < 1), mixed))

@@ -61,3 +61,16 @@ def test_unfitted_model_still_answers(spark):
     empty = spark.createDataFrame([], "sample_id long, lang string, text string")
     m = p3.fit_model(empty)
     assert p3.segment(spark.createDataFrame([(1, EN)], "page_id long, markdown string"), m).count() >= 1
+
+
+def test_short_sentences_prove_a_second_language_by_script_or_together(spark, model):
+    short = "Wir sind seit vielen Jahren da. Das ist ein guter Ofen. Der Ofen ist noch neu."
+    rows = [(1, f"{EN}\n\nМы работаем давно для всех вас.\n\n{EN}\n\nПечи новые и очень хорошие у нас.", None), (2, f"{EN}\n\n{short}", None), (3, EN, None)]
+    df = spark.createDataFrame(rows, "page_id long, markdown string, declared_lang string")
+    got = {(r["page_id"], r["para_no"], r["lang"]) for r in p3.wrong_labels(df, model).collect()}
+    assert {(2, 1, "en"), (2, 2, "de"), (3, 0, "en")} <= got and (1, 0, "en") not in got
+
+
+def test_one_short_sentence_in_another_script(spark, model):
+    df = spark.createDataFrame([(1, f"{EN}\n\nВсе наши печи новые.")], "page_id long, markdown string")
+    assert any(r["mixed"] for r in p3.segment(df, model).collect())
