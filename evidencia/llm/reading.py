@@ -22,6 +22,8 @@ from .language import label_language
 WORD = re.compile(r"[^\W\d_]+")
 #: Sentences end at their marks; items and lines of their own count as sentences too.
 SENTENCE = re.compile(r"[.!?…;]+(?:\s|$)|\n")
+TWO_WORDS = re.compile(r"[^\W\d_]+[\W\d_]+[^\W\d_]")
+REST = pa.list_(pa.struct([("word", pa.string()), ("m", pa.int64())]))
 FEATURES = ("coverage", "sentence", "word", "long")
 
 
@@ -54,24 +56,33 @@ def _counted(counts: dict[str, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["lang", "word", "n"])
 
 
-def ranked_vocabulary(counts: DataFrame, size: int) -> DataFrame:
-    """(lang, word, rank) of at most `size` words of each language; words counted equally often share a rank.
+def ranks_by_count(counts: DataFrame) -> DataFrame:
+    """(lang, n, rank, upto): the rank of the words that stand n times in a language, and how many stand as often or more.
 
     A word's rank is one more than the number of words counted more often: a histogram of counts gives it, no sort of
-    all words. Equal counts are left out together if they don't fit.
+    all words. A language of t words has fewer than sqrt(2 t) different counts.
     """
     histogram = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
-    downwards = Window.partitionBy("lang").orderBy(F.desc("n"))
-    ranks = histogram.select("lang", "n", "words", F.sum("words").over(downwards).alias("upto")).where(F.col("upto") <= size)
-    return counts.join(ranks, ["lang", "n"]).select("lang", "word", (F.col("upto") - F.col("words") + 1).alias("rank"))
+    upto = F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    return histogram.select("lang", "n", "words", upto.alias("upto")).select("lang", "n", (F.col("upto") - F.col("words") + 1).alias("rank"), "upto")
+
+
+def ranked_vocabulary(counts: DataFrame, size: int) -> DataFrame:
+    """(lang, word, rank) of at most `size` words of each language; words counted equally often share a rank.
+
+    Equal counts are left out together if they don't fit: they and all rarer words are ranked by `far_coverage`.
+    """
+    return counts.join(ranks_by_count(counts).where(F.col("upto") <= size), ["lang", "n"]).select("lang", "word", "rank")
 
 
 def text_features(df: DataFrame, vocabulary: DataFrame, share: float = 0.8, head: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang, coverage, sentence, word, long) for each text with words.
+    """(key, lang, coverage, sentence, word, long, rest, place) for each text with words.
 
-    The language is the one whose `head` most frequent words fit most of the text's words, whatever its label says.
-    coverage: log of the coverage rank; sentence: log of words per sentence; word: letters per word; long: share of
-    words of nine letters and more. The vocabulary is collected: it holds at most `size` words of each language.
+    The language is the one whose `head` most frequent words fit most of the text's words, whatever its label says;
+    null where none fits. coverage: log of the coverage rank; sentence: log of words per sentence; word: letters per
+    word; long: share of words of nine letters and more. The vocabulary is collected: it holds at most `size` words of
+    each language. Where the covering vocabulary goes beyond it, coverage is null, rest holds the words outside with
+    their numbers, and place which of them, from the most frequent on, completes the share.
     """
     known: dict[str, dict[str, int]] = {}
     for row in vocabulary.collect():
@@ -87,30 +98,63 @@ def text_features(df: DataFrame, vocabulary: DataFrame, share: float = 0.8, head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, votes = shared.value
-        outside = {k: max(v.values(), default=0) + 1 for k, v in known.items()}
+        nowhere = 2**62
         for batch in batches:
-            keep, langs, values = [], [], []
+            keep, langs, values, rests, places = [], [], [], [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 words = WORD.findall(body.lower())
                 if not words:
                     continue
+                counted = Counter(words)
                 score: dict[str, float] = {}
-                for w in words:
+                for w, m in counted.items():
                     for k, v in votes.get(w, {}).items():
-                        score[k] = score.get(k, 0.0) + v
-                lang = max(score, key=lambda k: (score[k], k)) if score else ""
-                ranks, beyond = known.get(lang, {}), outside.get(lang, 1)
-                n = len(words)
-                at = np.partition(np.fromiter((ranks.get(w, beyond) for w in words), np.int64, n), min(n - 1, int(np.ceil(share * n)) - 1))[min(n - 1, int(np.ceil(share * n)) - 1)]
-                lengths = np.fromiter(map(len, words), np.int64, n)
-                sentences = sum(1 for s in SENTENCE.split(body) if len(s) > 3 and len(WORD.findall(s)) >= 2)
+                        score[k] = score.get(k, 0.0) + v * m
+                lang = max(score, key=lambda k: (score[k], k)) if score else None
+                ranks = known.get(lang, {})
+                n, place, rest, coverage = len(words), 0, [], None
+                if lang is not None:
+                    of = np.fromiter((ranks.get(w, nowhere) for w in counted), np.int64, len(counted))
+                    times = np.fromiter(counted.values(), np.int64, len(counted))
+                    order = np.argsort(of, kind="stable")
+                    upto = np.cumsum(times[order])
+                    wanted = max(1, int(np.ceil(share * n)))
+                    at = of[order[np.searchsorted(upto, wanted)]]
+                    if at < nowhere:
+                        coverage = float(np.log(at))
+                    else:
+                        place = wanted - int(times[of < nowhere].sum())
+                        rest = [{"word": w, "m": m} for w, m in counted.items() if w not in ranks]
+                lengths = np.fromiter(map(len, counted), np.int64, len(counted))
+                times = np.fromiter(counted.values(), np.int64, len(counted))
+                sentences = sum(1 for s in SENTENCE.split(body) if len(s) > 3 and TWO_WORDS.search(s))
                 keep.append(i)
                 langs.append(lang)
-                values.append((float(np.log(at)), float(np.log(n / max(1, sentences))), float(lengths.mean()), float((lengths >= 9).mean())))
-            table = np.array(values, np.float64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), *[pa.array(table[:, k]) for k in range(4)]], names=[key, "lang", *FEATURES])
+                rests.append(rest)
+                places.append(place)
+                values.append((coverage, float(np.log(n / max(1, sentences))), float((lengths * times).sum() / n), float(times[lengths >= 9].sum() / n)))
+            columns = [pa.array([v[k] for v in values], pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), *columns, pa.array(rests, REST), pa.array(places, pa.int64())], names=[key, "lang", *FEATURES, "rest", "place"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, lang string, " + ", ".join(f"{f} double" for f in FEATURES) + ", rest array<struct<word:string,m:bigint>>, place long")
 
-    return source.mapInArrow(run, f"`{key}` {kind}, lang string, " + ", ".join(f"{f} double" for f in FEATURES))
+
+def far_coverage(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """`text_features` with the coverage of texts that need words outside the collected vocabulary, exactly ranked.
+
+    Only those texts' rest words are joined with the counts, by a shuffle. Words that stand in no text of the language
+    come after all that do.
+    """
+    numbered = found.withColumn("__row", F.monotonically_increasing_id())  # found is a table already: numbers stay
+    each = numbered.where("place > 0").select("__row", "lang", "place", F.explode("rest").alias("x")).select("__row", "lang", "place", "x.word", "x.m")
+    ranks = ranks_by_count(counts)
+    last = ranks.groupBy("lang").agg((F.max("upto") + 1).alias("last"))
+    ranked = each.join(counts, ["lang", "word"], "left").join(ranks.select("lang", "n", "rank"), ["lang", "n"], "left").join(last, "lang", "left").withColumn("rank", F.coalesce("rank", "last"))
+    # one rank's words count together: the first rank at which enough of them have come
+    by_rank = ranked.groupBy("__row", "place", "rank").agg(F.sum("m").alias("m"))
+    come = F.sum("m").over(Window.partitionBy("__row").orderBy("rank"))
+    far = by_rank.withColumn("come", come).where("come >= place").groupBy("__row").agg(F.log(F.min("rank").cast("double")).alias("__far"))
+    return numbered.join(far, "__row", "left").withColumn("coverage", F.coalesce("coverage", "__far")).drop("__row", "__far", "rest", "place")
 
 
 def calibrate(scaled: DataFrame, labels: DataFrame, key: str = "doc_id", level: str = "level", far: float = 1.2, ridge: float = 0.5) -> list[float]:
@@ -120,7 +164,7 @@ def calibrate(scaled: DataFrame, labels: DataFrame, key: str = "doc_id", level:
     as slips of a rater. Without labels the features count alike.
     """
     given = labels.where(col(labels, level).isNotNull()).groupBy(col(labels, key).alias("__k")).agg(F.avg(col(labels, level)).alias("y"))
-    data = cut(scaled.join(given, F.col(key) == F.col("__k")).select("y", F.lit(1.0).alias("x0"), *[F.col(f).alias(f"x{i}") for i, f in enumerate(FEATURES, 1)]))
+    data = cut(scaled.where("lang is not null").join(given, F.col(key) == F.col("__k")).select("y", F.lit(1.0).alias("x0"), *[F.col(f).alias(f"x{i}") for i, f in enumerate(FEATURES, 1)]))
     n = len(FEATURES) + 1
     weights: list[float] | None = None
     for _ in range(2):
@@ -138,15 +182,17 @@ def calibrate(scaled: DataFrame, labels: DataFrame, key: str = "doc_id", level:
 def reading_levels(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = 20_000, share: float = 0.8) -> DataFrame:
     """(key, lang, estimate, level) for each text with words; null, empty and blank texts have no row.
 
-    estimate: on the labels' scale of 1 to 5; level: the nearest whole level. Repeated rows get equal results; an empty
-    table none. size: the vocabulary of each language; rarer words all count as just outside it.
+    estimate: on the labels' scale of 1 to 5; level: the nearest whole level; both, and lang, null where no language's
+    frequent words fit. Repeated rows get equal results; an empty table none. size: how many words of each language
+    the tasks hold; the results are the same for any size that holds the languages' frequent words.
     """
-    vocabulary = ranked_vocabulary(cut(word_counts(df, text, lang)), size)
-    found = cut(text_features(df, vocabulary, share, key=key, text=text))
+    counts = cut(word_counts(df, text, lang))
+    found = cut(far_coverage(cut(text_features(df, ranked_vocabulary(counts, size), share, key=key, text=text)), counts))
     # languages differ in their words' lengths and more, so each is measured against its own texts
     own = found.groupBy("lang").agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"d_{f}") for f in FEATURES])
-    scaled = found.join(F.broadcast(own), "lang").select(key, "lang", *[F.when(F.col(f"d_{f}") > 1e-9, (F.col(f) - F.col(f"m_{f}")) / F.col(f"d_{f}")).otherwise(0.0).alias(f) for f in FEATURES])
+    # at most one row for each language
+    scaled = found.join(F.broadcast(own), found["lang"].eqNullSafe(own["lang"])).drop(own["lang"]).select(key, "lang", *[F.when(F.col(f"d_{f}") > 1e-9, (F.col(f) - F.col(f"m_{f}")) / F.col(f"d_{f}")).otherwise(0.0).alias(f) for f in FEATURES])
     weights = calibrate(scaled, labels, key)
     estimate = sum((F.col(f) * w for f, w in zip(FEATURES, weights[1:], strict=True)), F.lit(weights[0]))
-    leveled = scaled.select(key, "lang", F.least(F.lit(5.0), F.greatest(F.lit(1.0), estimate)).alias("estimate"))
+    leveled = scaled.select(key, "lang", F.when(F.col("lang").isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(1.0), estimate))).alias("estimate"))
     return leveled.withColumn("level", F.floor(F.col("estimate") + 0.5).cast("int"))
