@@ -232,7 +232,8 @@ def fit_model(samples: DataFrame, *labelled: tuple[DataFrame, str, str, str], se
     Collects bounded samples only; of a text longer than settings.chars its beginning serves for fitting.
     """
     s = settings or Settings()
-    rows = [tuple(r) for r in samples.select(col(samples, text), col(samples, lang)).limit(s.sample).collect()]
+    own = samples.select(col(samples, text).alias("t"), col(samples, lang).alias("l"))
+    rows = [tuple(r) for r in hash_sample(own, F.struct("t", "l"), s.sample).collect()]
     for table, key, body, label in labelled:
         known = table.select(F.substring(col(table, body), 1, s.chars).alias("t"), label_language(col(table, label)).alias("l"), col(table, key).alias("k"))
         sample = hash_sample(known, F.struct("k", "l"), s.sample).where("l is not null and trim(t) <> ''")

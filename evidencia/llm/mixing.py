@@ -31,6 +31,15 @@ def source_name(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_"), F.lit(""))
 
 
+#: Targets, and sources, up to which they are broadcast; more are joined by a shuffle.
+FEW = 10_000
+
+
+def _near(wanted: DataFrame):
+    """What joins a table with a row for each target: a broadcast up to FEW of them, else a shuffle."""
+    return F.broadcast if wanted.limit(FEW + 1).count() <= FEW else lambda df: df
+
+
 def targets_of(targets: DataFrame, sizes: DataFrame, mix: Mix) -> DataFrame:
     """(mix_name, source, share, whole, rest): how often each source is used in whole and the tokens of its last part.
 
@@ -38,7 +47,7 @@ def targets_of(targets: DataFrame, sizes: DataFrame, mix: Mix) -> DataFrame:
     at which no source needs more repeats than allowed; where a given total needs more, a source stops at its cap.
     """
     wanted = targets.select("mix_name", source_name(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").cast("long").alias("cap"))
-    wanted = wanted.where("source is not null and share > 0 and cap > 0").join(F.broadcast(sizes), "source").where("size > 0")
+    wanted = wanted.where("source is not null and share > 0 and cap > 0").join(sizes, "source").where("size > 0")
     all_ = Window.partitionBy("mix_name")
     share = F.col("share") / F.sum("share").over(all_)
     placed = wanted.withColumn("part", share).withColumn("total", F.min(F.col("size") * F.col("cap") / F.col("part")).over(all_) if mix.total is None else F.lit(float(mix.total)))
@@ -53,11 +62,17 @@ def thresholds(records: DataFrame, wanted: DataFrame, mix: Mix) -> DataFrame:
     Nested histograms: each round sums only the records of the bucket in which the running sum crosses the budget.
     The last bucket goes in if that comes nearer to the budget. The table of thresholds has a row for each target.
     """
+    near = _near(wanted)
     state = wanted.select("mix_name", "source", "rest", F.lit(0).cast("long").alias("low"))
+    pool = records.join(near(wanted.select("mix_name", "source")), "source").select("mix_name", "source", "hash", "tokens")
     for r in range(mix.rounds):
         shift = 62 - mix.bits * (r + 1)
         width = 1 << shift
-        inside = records.join(F.broadcast(state), "source").where((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(1 << (shift + mix.bits))))
+        inside = pool.join(near(state), ["mix_name", "source"]).where((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(1 << (shift + mix.bits))))
+        if r:
+            # from the second round on only the records of the boundary buckets are carried
+            inside = cut(inside)
+            pool = inside.select("mix_name", "source", "hash", "tokens")
         histogram = inside.groupBy("mix_name", "source", "low", "rest", F.shiftright(F.col("hash") - F.col("low"), shift).alias("bucket")).agg(F.sum("tokens").alias("t"))
         # at most 2**bits rows for each target
         running = F.sum("t").over(Window.partitionBy("mix_name", "source").orderBy("bucket"))
@@ -78,19 +93,23 @@ def mix_sources(df: DataFrame, targets: DataFrame, mix: Mix = Mix(), key: str =
     Sizes are tokens of the public vocabulary. Records of null source, null and empty texts have no share and are never
     chosen; targets of sources that df doesn't have are left out; equal rows are records of their own.
     """
-    counted = count_tokens(df, key, text, (source,), vocabulary, tokenizers)
+    names = targets.select(source_name(F.col("source")).alias("__source")).where("__source is not null").distinct()
+    near = _near(names)
+    # what no target names is left out before its tokens are counted
+    asked = df.join(near(names), source_name(col(df, source)) == F.col("__source"), "left_semi")
+    counted = count_tokens(asked, key, text, (source,), vocabulary, tokenizers)
     records = counted.select(F.col(f"`{key}`").alias("key"), source_name(F.col(f"`{source}`")).alias("source"), "tokens").where("source is not null and tokens > 0")
     records = cut(records.withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), "key", "source"), 2)))
-    names = targets.select(source_name(F.col("source")).alias("source")).distinct()
-    sizes = records.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("size"))
+    sizes = records.groupBy("source").agg(F.sum("tokens").alias("size"))
     wanted = cut(targets_of(targets, sizes, mix))
+    near = _near(wanted)
     edge = thresholds(records, wanted, mix)
     plan = wanted.join(edge, ["mix_name", "source"])
-    used = records.join(F.broadcast(plan), "source").withColumn("repeats", (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).cast("int")).where("repeats > 0")
+    used = records.join(near(plan), "source").withColumn("repeats", (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).cast("int")).where("repeats > 0")
     used = used.select("mix_name", "key", "source", "tokens", "repeats", "target_share")
     share = used.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t"))
     share = share.withColumn("share_reached", F.col("t") / F.sum("t").over(Window.partitionBy("mix_name"))).drop("t")
-    return used.join(F.broadcast(share), ["mix_name", "source"]).select("mix_name", F.col("key").alias(key), "source", "tokens", "repeats", "target_share", "share_reached")
+    return used.join(near(share), ["mix_name", "source"]).select("mix_name", F.col("key").alias(key), "source", "tokens", "repeats", "target_share", "share_reached")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
