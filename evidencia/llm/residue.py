@@ -1,9 +1,9 @@
 """Problem 5: records that hold template residue, filler or error-page text instead of real content.
 
-Each page is cut into units (sentences, headings, labels). Detectors mark placeholders, filler, error, access and
-script messages; the same unit met under different address slugs, only ever on pages that say next to nothing, is
-marked on the corpus' own evidence. A page's slug and title terms are compared with its body: where they match, what
-remains counts as content.
+Each page is cut into units (sentences, headings, labels). The evidence of all hosts finds the residue: a unit that
+stands under different address slugs on different hosts, only ever on pages that say next to nothing, most of which
+have nothing to do with their own slug and title. Detectors mark unfilled places, filler and the plainest messages, so
+that also what stands once in a corpus is found. A page is residue when nothing else is left of it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col, cut
+from ..runtime import bounded_broadcast, col, cut
 from .repeated_lines import Support, _match, identified, letters_by_line, repeated_lines, site_of
 
 #: Letters and signs from which on a unit counts as long.
@@ -28,10 +28,11 @@ HOLE = r"[{<«@%\[_$]|TBD"
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor tempus incididunt labore dolore magna aliqua donec mauris nisi nulla tellus felis massa congue augue lectus varius orci pretium ornare vitae velit risus porta quis nostrud ut enim ad minim veniam duis aute irure vestibulum pellentesque curabitur integer vivamus".split()
 FILLER = r"lorem ipsum|placeholder|click to (add|edit|enter)|text goes here|sample (paragraph|text)|\btodo\b|to be (completed|written|defined|done)|\btext text\b|\basdf|\bqwerty|\bx{3,}\b|aquí va (su|tu|el) texto|texto de (ejemplo|relleno|exemplo)|blindtext|beispieltext|platzhalter|texte (à|a) remplacer|texte (factice|d'exemple)|testo (segnaposto|di esempio)|inserire (qui )?il testo|inserir texto|seu texto aqui|voorbeeldtekst|tekst hier|tu wpisz|przykładowy tekst|tekst zastępczy|текст-заполнитель|здесь будет текст|вставьте текст"
 
-# Messages of servers, log-ins and viewers, in the nine languages.
-ERROR = r"\b(error|http|fehler|erreur|errore|erro|fout|błąd|ошибка)\s*:?\s*[345]\d\d\b|\b[345]\d\d\b\s*(-|:)|^[345]\d\d\b|bad gateway|\bgateway\b|not found|nothing lives|no longer (exists|available)|file you want|(moved|deleted|removed) or (moved|deleted|removed)|server error|server is busy|internal error|broken link|search box|start page|check the address|retry later|try again|come back (later|in)|working on the machines|under maintenance|temporarily unavailable|timed out|request was blocked|traceback|exception\b|null reference|cannot open template|stack trace|nicht gefunden|kein dokument|gelöscht|verschoben|prüfen sie die (eingabe|adresse)|serverfehler|server(s)? (ist|sind) (überlastet|nicht)|später (noch einmal|erneut|wieder)|zur startseite|introuvable|n'existe plus|ne mène nulle part|vérifiez l'adresse|retour à l'accueil|erreur (du |de )?serveur|réessayez|plus tard|no encontrad|ya no existe|volver al inicio|error del servidor|no pudimos|inténtelo|más tarde|non trovat|non esiste più|errore (del|di) server|riprova|torna (alla|all')|controlli l'indirizzo|não encontrad|não existe mais|já não existe|erro (do|no) servidor|tente (novamente|mais tarde|outra vez)|voltar (ao|à)|niet gevonden|bestaat niet (meer)?|serverfout|probeer het|terug naar|controleer het adres|nie znaleziono|usunięty|przeniesiony|nie istnieje|błąd serwera|spróbuj|wróć do|sprawdź adres|не найден|удал[её]н|перемещ[её]н|ошибка сервера|попробуйте|повторите|вернуться на|проверьте адрес"
-ACCESS = r"log[- ]?in (needed|required)|sign in|log in|registered (partners|users|members)|your session|lack permission|no permission|closed to visitors|access (denied|restricted|forbidden)|forbidden|anmeld(en|ung)|zugriff (verweigert|gesperrt)|sitzung (ist )?(abgelaufen|beendet)|accès (refusé|interdit|réservé)|connectez-vous|identifiez-vous|acceso (denegado|restringido)|inicie sesión|sesión ha|accesso (negato|riservato)|acceda|effettui? (il login|l'accesso)|acesso (negado|restrito)|inicie (a )?sessão|faça login|toegang geweigerd|log(t)? (eerst )?in\b|aanmelden|odmowa dostępu|brak (dostępu|uprawnień)|zaloguj|доступ (запрещ|закрыт|ограничен)|войдите|нет доступа"
-SCRIPT = r"javascript|noscript|\bscripts?\b|\bskripte?\b|\bskrypt|\bскрипт|\bcookies?\b|your browser|(ihr|im|dem) browser|navigateur|navegador|\bbrowser in\b|przeglądar|браузер|script engine|\bviewer\b|older than this form|update the reader|open the file again|service paused|your browser is being checked|newer program|newer (version|viewer)|portfolio cannot|^loading\b|are human|reload the page|laden sie die seite neu|rechargez|recargue|ricarichi|recarregue|odśwież|обновите страницу|adobe reader"
+# The status lines of HTTP and the plainest messages on missing pages, log-ins and scripts in the nine
+# languages, for those that stand but once or twice. All other wordings are left to the hosts' evidence.
+ERROR = r"\b(error|http|fehler|erreur|errore|erro|fout|błąd|ошибка)\s*:?\s*[345]\d\d\b|^[345]\d\d\b|bad gateway|(page|file|document) (was )?not found|server error|serverfehler|erreur (du |de )?serveur|error del servidor|errore (del|di) server|erro (do|no) servidor|serverfout|błąd serwera|ошибка сервера|service unavailable|gateway timeout|nicht gefunden|introuvable|no encontrad[ao]|non trovat[ao]|não encontrad[ao]|niet gevonden|nie znaleziono|не найден"
+ACCESS = r"access denied|\bforbidden\b|(log|sign)[- ]?in (is )?(needed|required)|please (log|sign) in|zugriff verweigert|accès refusé|acceso denegado|accesso negato|acesso negado|toegang geweigerd|odmowa dostępu|доступ запрещ[её]н"
+SCRIPT = r"javascript|noscript|\bscripts?\b|\bskripte?\b|\bskrypty?\b|\bскрипты?\b|(enable|allow|turn on|switch on) cookies"
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -107,6 +108,11 @@ def kinds(us: Column) -> Column:
     return F.transform(us, one)
 
 
+def said(units: Column) -> Column:
+    """How many words the units say that no detector marks."""
+    return F.aggregate(F.filter(units, lambda u: u["kind"] != "residue"), F.lit(0), lambda n, u: n + u["words"])
+
+
 def boilerplate_lines(df: DataFrame, key: str, text: str, url: str, support: Support, share: float = 0.5, hosts: int = 2, hot: int = 2000) -> DataFrame:
     """(key, n): lines that their own site repeats, and lines that other hosts repeat wherever they stand.
 
@@ -114,14 +120,14 @@ def boilerplate_lines(df: DataFrame, key: str, text: str, url: str, support: Sup
     a repeated line in at least `share` of its places, on at least `hosts` sites, is one here too.
     """
     page = df.select(col(df, key).alias("key"), site_of(col(df, url)).alias("site"), F.xxhash64(F.trim(col(df, url))).alias("u"), col(df, text).alias("text")).where("text is not null")
-    masked = F.split(F.lower(F.regexp_replace(F.regexp_replace("text", r"\p{Lu}\p{L}*", " "), r"[^\p{L}\n]+", "")), "\n", -1)
+    # what is written with a capital, a figure or a sign of an address names a firm, a person or a date
+    masked = F.split(F.lower(F.regexp_replace(F.regexp_replace("text", r"\S*[\p{Lu}@\d]\S*", " "), r"[^\p{L}\n]+", "")), "\n", -1)
     each = page.select("key", "site", "u", F.posexplode(F.arrays_zip(letters_by_line(F.col("text")).alias("letters"), masked.alias("masked"))).alias("n", "x"))
     each = identified(each.select("key", "site", "u", (F.col("n") + 1).alias("n"), "x.letters", "x.masked"), support)
-    # two identities of a line across hosts: its letters without capitalised words, and its first letters
-    full = F.when(F.length("masked") >= 8, F.xxhash64(F.lit(1), F.col("masked")))
-    start = F.xxhash64(F.lit(2), F.substring("letters", 1, 9))
+    # across hosts a line is the same if all its letters are, or those of its words in small letters
+    both = F.filter(F.array(F.when(F.length("masked") >= 8, F.xxhash64("masked")), F.col("h2")), lambda x: x.isNotNull())
     # one pass over the texts serves the search within sites and across them
-    long = cut(each.select("key", "site", "u", "n", "h1", "h2", F.filter(F.array(full, start), lambda x: x.isNotNull()).alias("ids")))
+    long = cut(each.select("key", "site", "u", "n", "h1", "h2", both.alias("ids")))
     within = long.where("site is not null").select("key", "site", "u", "n", "h1", "h2")
     gone = repeated_lines(df, key, text, url, support, within).select(F.col(key).alias("key"), F.col("line_no").alias("n"), F.lit(1).alias("again"))
     each = long.where("key is not null").select("key", F.xxhash64("site").alias("site"), "n", "ids")
@@ -137,7 +143,11 @@ def boilerplate_lines(df: DataFrame, key: str, text: str, url: str, support: Sup
 
 
 def page_units(df: DataFrame, key: str, text: str, url: str, title: str, error: str, support: Support, low: int) -> DataFrame:
-    """One row for each page: key, site, slug, error, blank, matches (slug or title terms stand in the body), units."""
+    """One row for each page: key, site, slug, error, blank, matches (slug or title terms stand in the body), thin, units, ids.
+
+    thin: the page says at most `low` words outside what the detectors mark. A thin page has its units, any other page
+    the identities of its units, which show what stands beside content.
+    """
     gone = boilerplate_lines(df, key, text, url, support).groupBy(F.col("key").alias("__k")).agg(F.collect_set("n").alias("gone"))
     page = df.select(col(df, key).alias("key"), site_of(col(df, url)).alias("site"), F.trim(col(df, url)).alias("url"), col(df, title).cast("string").alias("title"), col(df, error).cast("string").alias("error"), col(df, text).alias("text"))
     page = page.join(gone, F.col("key").eqNullSafe(F.col("__k")), "left").drop("__k")
@@ -145,51 +155,57 @@ def page_units(df: DataFrame, key: str, text: str, url: str, title: str, error:
     page = page.withColumn("body", F.when(F.col("gone").isNull(), F.col("text")).otherwise(body))
     dropped = F.expr("filter(transform(split(text, '\\n', -1), (l, i) -> if(array_contains(gone, cast(i + 1 as int)), l, '')), x -> x != '')")
     page = page.withColumn("us", F.coalesce(units(F.col("body")), F.array().cast("array<string>")))
-    # A page has real content whatever else it says once the detectors leave more than `low` of its units as text. Its
-    # first long units mostly show that; only where they don't are all its units needed.
-    first = F.slice(F.filter("us", lambda u: F.length(u) >= LONG // 2), 1, low + 3)
-    page = page.withColumn("thin", F.size(F.filter(kinds(measured(first)), lambda u: u["kind"] == "text")) <= low)
+    # a page's first long units mostly say enough; only where they don't are all its units tested
+    first = F.slice(F.filter("us", lambda u: F.length(u) >= LONG // 2), 1, 5)
+    page = page.withColumn("own", F.when(said(kinds(measured(first))) <= low, kinds(measured(F.col("us")))))
+    page = page.withColumn("thin", F.coalesce(said(F.col("own")) <= low, F.lit(False)))
     dropped_units = F.filter(kinds(measured(dropped)), lambda u: u["kind"] == "residue")  # a message that a whole site repeats is still a message
-    own = kinds(measured(F.col("us")))
-    # the units of the others only show what stands beside content
-    aside = F.transform("us", lambda u: F.struct(F.lit("aside").alias("kind"), F.lit(0).alias("words"), identity(u).alias("id")))
-    page = page.withColumn("units", F.when(F.col("thin"), F.concat(own, F.when(F.col("gone").isNull(), F.array()).otherwise(dropped_units))).otherwise(aside))
-    slug = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    page = page.withColumn("units", F.when(F.col("thin"), F.concat("own", F.when(F.col("gone").isNull(), F.array()).otherwise(dropped_units))))
+    page = page.withColumn("ids", F.when(~F.col("thin"), F.array_distinct(F.transform("us", identity))))
+    slug = F.regexp_extract("url", r"([^/?#]*)/*(?:[?#].*)?$", 1)
     terms = F.filter(_words(F.concat_ws(" ", F.regexp_replace(slug, r"(?i)\.pdf$", ""), F.regexp_replace("title", r"(?i)\.pdf", " "))), lambda w: F.length(w) >= 4)
     matches = F.when(F.col("thin"), F.arrays_overlap(terms, _words(F.coalesce("body", F.lit("")))))
-    return page.select("key", "site", F.xxhash64("url").alias("slug"), "error", (~F.coalesce("text", F.lit("")).rlike(r"[^\s\x{A0}\x{FEFF}\x{200B}]")).alias("blank"), matches.alias("matches"), "thin", "units")
+    return page.select("key", F.xxhash64("site").alias("site"), F.xxhash64(slug).alias("slug"), "error", (~F.coalesce("text", F.lit("")).rlike(r"[^\s\x{A0}\x{FEFF}\x{200B}]")).alias("blank"), F.coalesce(matches, F.lit(False)).alias("matches"), "thin", "units", "ids")
+
 
+def duplicated(page: DataFrame, slugs: int, hosts: int) -> DataFrame:
+    """(id): units that the hosts together show to be no content.
 
-def find_residue(df: DataFrame, key: str = "page_id", text: str = "markdown", url: str = "url", title: str = "title", error: str = "error", support: Support = Support(), low: int = 2) -> DataFrame:
+    Such a unit stands under at least `slugs` different slugs on at least `hosts` hosts, never on a page that says
+    more, and at most half of its pages have to do with their slug or title.
+    """
+    each = page.where("thin").select("site", "slug", "matches", F.explode("units").alias("u")).where("u.kind <> 'residue' and u.words > 1")
+    # by slug first: few rows are left for the count of different ones, however often a unit stands
+    by_slug = each.groupBy(F.col("u.id").alias("id"), "slug").agg(F.min("site").alias("s1"), F.max("site").alias("s2"), F.count("*").alias("n"), F.sum(F.col("matches").cast("long")).alias("m"))
+    wide = by_slug.groupBy("id").agg(F.count("*").alias("slugs"), F.min("s1").alias("s1"), F.max("s2").alias("s2"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    enough = (F.col("slugs") >= slugs) & (F.col("m") * 2 <= F.col("n")) & (F.lit(hosts <= 1) | (F.col("s1") != F.col("s2")))
+    candidates = cut(wide.where(enough).select("id"))
+    beside = page.where("not thin").select(F.explode("ids").alias("id")).join(bounded_broadcast(candidates, 200_000, "candidates"), "id", "left_semi").distinct()
+    return candidates.join(beside, "id", "left_anti")
+
+
+def find_residue(df: DataFrame, key: str = "page_id", text: str = "markdown", url: str = "url", title: str = "title", error: str = "error", support: Support = Support(), low: int = 40, slugs: int = 3, hosts: int = 2) -> DataFrame:
     """(key): pages whose text, the lines repeated by its site aside, is nothing but residue; blank pages with an error.
 
     Null text counts as blank; null or blank error as none; pages without url take part without a site; an empty table
-    gives an empty result; repeated rows of one key give one row. low: a page says next to nothing when it has at most
-    so many units that the detectors leave as text.
+    gives an empty result; repeated rows of one key give one row. low: words outside what the detectors mark, up to
+    which a page says next to nothing. slugs, hosts: as for `duplicated`; hosts is 1 or 2.
     """
     page = cut(page_units(df, key, text, url, title, error, support, low))
-    count = lambda kind: F.size(F.filter("units", lambda u: u["kind"] == kind))
-    said = page.withColumn("texts", F.when(F.col("thin"), count("text")).otherwise(low + 1)).withColumn("residues", count("residue"))
-    each = said.select("key", "site", "slug", "texts", "residues", F.explode("units").alias("u"))
-    # the evidence of all hosts on each unit of text: where else it stands, and beside how much
-    evidence = (
-        each.where("u.kind in ('text', 'aside')")
-        .groupBy(F.col("u.id").alias("id"))
-        .agg(F.max("texts").alias("most"), F.count("*").alias("n"), F.min("slug").alias("s1"), F.max("slug").alias("s2"), F.sum((F.col("residues") > 0).cast("long")).alias("beside"))
-        .where((F.col("most") <= low) & (F.col("s1") != F.col("s2")) & (F.col("beside") * 2 >= F.col("n")))
-        .select("id")
-    )
-    thin = each.where((F.col("u.kind") == "text") & (F.col("texts") <= low)).select("key", F.col("u.id").alias("id"), F.col("u.words").alias("words"))
-    judged = thin.join(evidence.withColumn("low", F.lit(True)), "id", "left").groupBy("key").agg(F.count_if(F.col("low").isNull()).alias("open"), F.count_if(F.col("low")).alias("lows"), F.sum(F.when(F.col("low").isNull(), F.col("words")).otherwise(0)).alias("open_words"))
-    words = F.aggregate(F.filter("units", lambda u: u["kind"] == "residue"), F.lit(0), lambda a, u: a + u["words"] + 1)
-    joined = said.withColumn("residue_words", words).join(judged, "key", "left")
-    nothing = (F.col("residues") + F.coalesce("lows", F.lit(0)) > 0) & (F.col("texts") <= low) & (
-        (F.coalesce("open", F.lit(0)) == 0)
+    thin = page.where("thin").select("key", F.explode("units").alias("u")).select("key", "u.kind", "u.words", "u.id")
+    known = duplicated(page, slugs, hosts).withColumn("known", F.lit(True))
+    # a label in front of something else says nothing by itself
+    judged = thin.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)) | (F.col("kind") == "residue"))
+    open_ = (F.col("kind") == "text") & ~F.col("known")
+    sums = judged.groupBy("key").agg(F.count_if("known").alias("residues"), F.sum(F.when(F.col("known"), F.col("words") + 1).otherwise(0)).alias("residue_words"), F.count_if(open_).alias("open"), F.sum(F.when(open_, F.col("words")).otherwise(0)).alias("open_words"))
+    joined = page.select("key", "blank", "error", "matches", "thin").join(sums, "key", "left")
+    nothing = F.col("thin") & (F.col("residues") > 0) & (
+        (F.col("open") == 0)
         # one short unit that nothing explains, on a page whose address and title have nothing to do with it
-        | ((F.col("open") == 1) & (F.col("open_words") <= 6) & (F.col("residues") > 0) & (F.col("residue_words") >= 2 * F.col("open_words")) & ~F.coalesce("matches", F.lit(False)))
+        | ((F.col("open") == 1) & (F.col("open_words") <= 10) & (F.col("residue_words") * 2 >= F.col("open_words")) & ~F.col("matches"))
     )
-    empty = F.col("blank") & (F.trim(F.coalesce("error", F.lit(""))) != "")
-    return joined.where(F.when(F.col("blank"), empty).otherwise(nothing)).select(F.col("key").alias(key)).distinct()
+    empty = F.col("blank") & (F.trim(F.coalesce(F.col("error"), F.lit(""))) != "")
+    return joined.where(F.when(F.col("blank"), empty).otherwise(F.coalesce(nothing, F.lit(False)))).select(F.col("key").alias(key)).distinct()
 
 
 def exclude_residue(df: DataFrame, key: str = "page_id", **columns) -> DataFrame:

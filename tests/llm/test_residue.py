@@ -45,11 +45,30 @@ def test_long_pages_of_residue(spark):
 
 def test_a_long_unit_that_stands_beside_content_elsewhere_is_no_residue(spark):
     legal = "the crucibles of this sheet are made of clay and graphite and fired twice in the old kiln before they leave the yard"
-    rows = [(i, f"https://s{i}.test/files/a{i}.pdf", None, None, f"Page introuvable\n\n{legal}", "u") for i in range(2)]
-    assert found(spark, rows) == {0, 1}
+    rows = [(i, f"https://s{i}.test/files/a{i}.pdf", None, None, f"Page introuvable\n\n{legal}", "u") for i in range(3)]
+    assert found(spark, rows) == {0, 1, 2}
     assert found(spark, rows + [(7, "https://t.test/files/b.pdf", None, None, f"{REAL} {REAL} {REAL}\n\n{legal}", "u")]) == set()
 
 
+def test_the_hosts_show_messages_that_no_list_holds(spark):
+    message = "Zorbu nixt hier fanden kun, mog elder soeken.\n\nVelko prag oben drukt."
+    shop = "Klinker und Platten holt man vor Ort im Hof ab."  # as short and as frequent, but it stands beside content too
+    rows = [(i, f"https://h{i % 40}.test/files/{'abcdefghij'[i % 10] * 3}{i}.pdf", None, None, message, "") for i in range(60)]
+    rows += [(100 + i, f"https://h{i}.test/files/k{i}.pdf", None, None, f"[PDF page 1]\n{shop}", "") for i in range(9)]
+    rows += [(200 + i, f"https://g{i}.test/files/r{i}.pdf", None, None, f"{REAL}\n\n{shop}", "") for i in range(2)]
+    # real short pages of one wording whose slug and title speak of the same
+    rows += [(300 + i, f"https://f{i}.test/files/preisliste-{i}.pdf", f"Preisliste {i}", None, f"Die preisliste senden wir gern zu, bitte anrufen {i}.", "") for i in range(9)]
+    assert found(spark, rows) == set(range(60))
+
+
+def test_without_any_list_of_messages_most_residue_is_found(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pdf_pages.parquet")
+    whole = {r[0] for r in p5.find_residue(pages).collect()}
+    monkeypatch.setattr(p5, "MESSAGE", p5._any(p5.FILLER))
+    bare = {r[0] for r in p5.find_residue(pages).collect()}
+    assert bare <= whole and len(bare) >= 0.9 * len(whole)
+
+
 def test_blank_pages_count_with_an_error_only(spark):
     rows = [(1, "u", None, "HTTP 404", None, ""), (2, "u", None, "HTTP 404", " \n\xa0", ""), (3, "u", None, "", "", ""), (4, "u", None, None, None, ""), (5, None, None, " ", None, "")]
     assert found(spark, rows) == {1, 2}
