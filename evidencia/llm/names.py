@@ -311,9 +311,9 @@ class Matcher:
                     return 0.0, 0, 0, 0
                 return (0.0, 1, 0, 0) if len(t) + len(u) > 2 and self._begins(*sorted((t, u), key=len), cyrillic) else None
             if (abbreviated and u.startswith(t) or short_u and t.startswith(u)) and min(len(t), len(u)) >= 3:
-                return 0.3, 0, 1, len(t)
+                return 0.3, 0, 1, min(len(t), len(u))
             c = self._same_word(t, u, df, cyrillic)
-            return None if c is None else (c, 0, 1, len(t))
+            return None if c is None else (c, 0, 1, min(len(t), len(u)))
 
         def place(i: int, used: int, cost: float, initials: int, words: int, letters: int, dropped: int) -> None:
             nonlocal best
@@ -378,10 +378,10 @@ class Matcher:
         return weaker if rest_words else "same"
 
 
-def nickname_map(pairs: list[tuple[str, str]]) -> dict[str, frozenset[str]]:
+def nickname_map(pairs: list[tuple[str, str]], nicknames: str = NICKNAMES) -> dict[str, frozenset[str]]:
     """Each form's given names, folded; a given name belongs to itself."""
     known: dict[str, set[str]] = {}
-    for line in NICKNAMES.replace("\n", " ").split(";"):
+    for line in filter(str.strip, nicknames.replace("\n", " ").split(";")):
         given, forms = line.split(":")
         for form in forms.split():
             known.setdefault(folded(plain(form)), set()).add(folded(plain(given.strip())))
@@ -403,10 +403,11 @@ def _shards(token: str) -> list[tuple[str, str]]:
     """
     n = len(token)
     out = []
-    if n <= 7:
-        out += [("p" + token[:1], "both"), ("s" + token[-1:], "both")]
-    if 7 <= n <= 8:
-        out += [("P" + token[:3], "both"), ("S" + token[-3:], "both")]
+    # the longest of each kind only wait for shorter ones: among themselves they meet in the next kind
+    for kind, size, fits, last in (("1", 1, n <= 5, 5), ("2", 2, 5 <= n <= 7, 7), ("3", 3, 7 <= n <= 8, 8)):
+        if fits:
+            role = "index" if n == last else "both"
+            out += [(f"P{kind}" + token[:size], role), (f"S{kind}" + token[-size:], role)]
     for kind, size, fits in (("2", 2, 8 <= n <= 13), ("3", 3, n >= 12)):
         if fits:
             middle = (n - size) // 2
@@ -415,6 +416,42 @@ def _shards(token: str) -> list[tuple[str, str]]:
     return out
 
 
+def parts_of(form: str) -> list[tuple[str, bool]]:
+    """(folded part, abbreviated) of a form; initials are parts of one letter."""
+    return [(folded(p) if len(p) > 1 else folded(p)[:1], t.endswith(".")) for t in form.rsplit("|", 1)[1].replace("c~", "").split() for p in t.rstrip(".").split("-") if p]
+
+
+def exact_keys(word: str, abbreviated: bool, common: bool, matcher: Matcher) -> list[tuple[str, str]]:
+    """(key, role) of a word that may stand for another though they aren't within the bound.
+
+    A short form and its given name share the given name; an abbreviation and its word, or a part and the whole of a
+    word of common use, share three letters; of such two one has to be the abbreviation or the word of common use.
+    """
+    out = [("=" + g, "index" if word == g else "both") for g in matcher._given(word)]
+    if len(word) >= 3:
+        out.append(("<" + word[:3], "both" if abbreviated or common else "index"))
+        out.append((">" + word[-3:], "both" if common else "index"))
+    return out
+
+
+def second_keys(form: str, anchor: str, counts: dict[str, int], matcher: Matcher) -> list[tuple[str, str]]:
+    """(key, role) of all parts of a form but the one it is found by: two forms that match share one of these too.
+
+    A match takes two words or a word and an initial, unless both names are single words. The keys of words are those
+    by which words are found at all; of initials, their letter, for which words only wait.
+    """
+    parts = parts_of(form)
+    keys = [exact_keys(w, a, counts.get(w, 1) >= matcher.common, matcher) if len(w) > 1 else [] for w, a in parts]
+    own = next((k for k, (w, _) in enumerate(parts) if w == anchor or any(x == anchor for x, _ in keys[k])), None)
+    out = {(".", "both"): None} if sum(len(w) > 1 for w, _ in parts) == 1 else {}
+    for k, (w, _) in enumerate(parts):
+        if k != own and len(w) == 1:
+            out["i" + w, "both"] = None
+        elif k != own:
+            out |= dict.fromkeys([("i" + x[0], "index") for x in (w, *matcher.nicknames.get(w, ()))] + _shards(w) + keys[k])
+    return list(out)
+
+
 def name_forms_of(df: DataFrame, key: str, scope: str, name: str) -> DataFrame:
     """(key, scope, form) for each row with a scope and a name that has letters."""
     rows = df.select(col(df, key).alias("key"), col(df, scope).alias("scope"), col(df, name).alias("name")).where("scope is not null and name is not null")
@@ -442,29 +479,48 @@ def _link_sorted(batches: Iterator[pd.DataFrame], matcher: Matcher) -> Iterator[
     current = None
 
     def flush() -> pd.DataFrame | None:
-        out = _join_shard(held, matcher) if len({r[0] for r in held}) > 1 else []
+        out = _join_shard(held, matcher, current[1]) if len({r[0] for r in held}) > 1 else []
         return pd.DataFrame([(current[0], *x) for x in out], columns=["scope", "a", "b", "kind"]) if out else None
 
     for batch in batches:
-        for scope, shard, role, token, i, form, counts in zip(*(batch[c] for c in ("scope", "shard", "role", "token", "id", "form", "counts")), strict=True):
+        for scope, shard, role, role2, token, i, form, counts in zip(*(batch[c] for c in ("scope", "shard", "role", "role2", "token", "id", "form", "counts")), strict=True):
             if (scope, shard) != current:
                 if (got := flush() if held else None) is not None:
                     yield got
                 held, current = [], (scope, shard)
-            held.append((i, form, token, counts, role))
+            held.append((i, form, token, counts, role, role2))
     if (got := flush() if held else None) is not None:
         yield got
 
 
-def _join_shard(rows: list[tuple], matcher: Matcher) -> list[tuple[int, int, str]]:
-    trie, queries, df = Trie(), {}, {}
-    for i, form, token, counts, role in rows:
-        for word, n in zip(words_of(form), counts, strict=True):
-            df[word] = n
+def _join_shard(rows: list[tuple], matcher: Matcher, shard: str) -> list[tuple[int, int, str]]:
+    """Links among the forms of a shard; the shard without a name holds all forms of a scope, by their words only."""
+    trie, queries, df, exact = Trie(), {}, {}, {}
+    forms: dict[int, str] = {}
+    # a form may come under two roles of the second key; it acts if it may under one
+    acts = {r[0] for r in rows if r[5] != "index"}
+    if not acts:
+        return []
+    for i, form, token, counts, role, _ in rows:
+        if i not in forms:
+            forms[i] = form
+            for word, n in zip(words_of(form), counts, strict=True):
+                df[word] = n
+        if token[0] in "=<>":
+            exact.setdefault(token, []).append((i, form, role))
+            continue
         if role != "query":
-            trie.add(token, (i, form))
+            trie.add(token, (i, form, token))
         if role != "index":
             queries.setdefault(token, []).append((i, form))
+    if not shard:
+        for i, form in forms.items():
+            for word, abbreviated in parts_of(form):
+                if len(word) > 1:
+                    for key, role in exact_keys(word, abbreviated, df.get(word, 1) >= matcher.common, matcher):
+                        exact.setdefault(key, []).append((i, form, role))
+    # equal tokens share all their shards and are compared in those of their first letters
+    others = shard[:1] in ("S", "s", "m")
     parent: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -474,19 +530,33 @@ def _join_shard(rows: list[tuple], matcher: Matcher) -> list[tuple[int, int, str
         return i
 
     seen, weak = set(), set()
+
+    def check(i: int, x: str, j: int, y: str) -> None:
+        pair = (i, j) if i < j else (j, i)
+        if i == j or pair in seen:
+            return
+        seen.add(pair)
+        got = matcher.match(x, y, df)
+        if got == "same":
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+        elif got:
+            weak.add((i, j) if got == "x" else (j, i))
+
     for token, here in queries.items():
         for there in trie.near(token, bound(len(token))):
+            if others and there[0][2] == token:
+                continue
+            some = [r for r in there if r[0] in acts]
             for i, x in here:
-                for j, y in there:
-                    if i == j or (min(i, j), max(i, j)) in seen:
-                        continue
-                    seen.add((min(i, j), max(i, j)))
-                    got = matcher.match(x, y, df)
-                    if got == "same":
-                        a, b = find(i), find(j)
-                        parent[max(a, b)] = min(a, b)
-                    elif got:
-                        weak.add((i, j) if got == "x" else (j, i))
+                for j, y, _ in there if i in acts else some:
+                    check(i, x, j, y)
+    for group in exact.values():
+        some = [r for r in group if r[0] in acts]
+        for i, x, role in group:
+            if role == "both":
+                for j, y, _ in group if i in acts else some:
+                    check(i, x, j, y)
     strong = [(i, find(i), "same") for i in list(parent) if find(i) != i]
     return strong + [(i, j, "part") for i, j in weak]
 
@@ -494,13 +564,16 @@ def _join_shard(rows: list[tuple], matcher: Matcher) -> list[tuple[int, int, str
 LINKS = "scope {kind}, a long, b long, kind string"
 
 
-def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", name: str = "full_name", short_forms: DataFrame | None = None, large: int = 2000, share: float = 0.005) -> DataFrame:
+def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", name: str = "full_name", short_forms: DataFrame | None = None, large: int = 500, hot: int = 300, share: float = 0.005, nicknames: str = NICKNAMES) -> DataFrame:
     """(key, scope, entity): rows of one scope with one entity mean the same person or organisation.
 
     Rows whose scope or name is null, empty or without letters are left out; equal rows get equal entities; an empty
-    table gives an empty result. short_forms: a table (form, given_name) of at most a few thousand rows. large: a scope
-    with more tokens than that is joined in several tries. share: a token in that part of all scopes is common.
-    Names that say less (an initial, one half of a double name) join an entity only if they fit exactly one.
+    table gives an empty result. short_forms: a table (form, given_name), held in memory: it lists given names, not
+    people. nicknames: further short forms, "given: form form; ...". large: a scope with more tokens than that is joined in several tries. hot: a trie of more
+    rows than that, as those of a token that very many names of a scope share, is split again by the names' other
+    parts. share: a token in that part of all scopes is common. Names that say less (an initial, one half of a double
+    name) join an entity only if they fit exactly one. Any two names that `Matcher.match` accepts meet, unless all that
+    they share are misspellings by two edits of common words of six or seven letters.
     """
     rows = cut(name_forms_of(df, key, scope, name))
     forms = rows.select("scope", "form").distinct().withColumn("id", F.xxhash64("scope", "form"))
@@ -510,17 +583,24 @@ def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", na
     counts = per_token.groupBy("token").agg(F.count("*").alias("n"))
     scopes = rows.select("scope").distinct().count()
     common = max(4, int(scopes * share))
+    pairs = short_forms.select("form", "given_name").distinct().collect() if short_forms is not None else []
+    matcher = Matcher(nickname_map([(r[0], r[1]) for r in pairs if r[0] and r[1]], nicknames), common)
     known = words.join(counts, "token").groupBy("scope", "id", "form").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "n"))).alias("tokens"))
-    known = cut(known)
-    # every token joins, common ones too: two forms may share no other that is within the bound
-    each = known.select("scope", "id", "form", F.transform("tokens", lambda t: t["n"]).alias("counts"), F.explode(F.array_distinct(F.transform("tokens", lambda t: t["token"]))).alias("token"))
-    sizes = each.groupBy("scope").agg(F.count("*").alias("size")).where(F.col("size") > large).select(F.col("scope").alias("__s"), F.lit(True).alias("__large"))
+    known = cut(known.select("scope", "id", "form", F.transform("tokens", lambda t: t["n"]).alias("counts"), F.transform("tokens", lambda t: t["token"]).alias("tokens")))
+    sizes = known.groupBy("scope").agg(F.sum(F.size("tokens")).alias("size")).where(F.col("size") > large).select(F.col("scope").alias("__s"), F.lit(True).alias("__large"))
     # so many large scopes can't be more than all tokens / large
-    placed = each.join(bounded_broadcast(sizes, 100_000, "large scopes"), F.col("scope") == F.col("__s"), "left").drop("__s")
-    small = F.array(F.struct(F.lit("").alias("shard"), F.lit("both").alias("role")))
-    sharded = placed.withColumn("place", F.explode(F.when(F.col("__large"), _shard_udf(F.col("token"))).otherwise(small))).select("scope", F.col("place.shard").alias("shard"), F.col("place.role").alias("role"), "token", "id", "form", "counts")
-    pairs = short_forms.limit(10_000).collect() if short_forms is not None else []
-    matcher = Matcher(nickname_map([(r[0], r[1]) for r in pairs if r[0] and r[1]]), common)
+    placed = known.join(bounded_broadcast(sizes, 100_000, "large scopes"), F.col("scope") == F.col("__s"), "left").drop("__s")
+    # every token joins, common ones too: two forms may share no other that is within the bound
+    small = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit("").alias("shard"), F.lit("both").alias("role")))
+    place = F.explode(F.when(F.col("__large"), _shard_udf(matcher)(F.col("form"), F.col("counts"))).otherwise(small)).alias("p")
+    sharded = placed.select("scope", "id", "form", "counts", place).select("scope", "p.shard", "p.role", "p.token", "id", "form", "counts")
+    # a shard with very many names is split by what else they hold
+    full = cut(sharded.where("shard <> ''").groupBy("scope", "shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("scope", "shard", F.lit(True).alias("__hot")))
+    marked = sharded.join(bounded_broadcast(full, 100_000, "hot shards"), ["scope", "shard"], "left")
+    alone = F.array(F.struct(F.lit("").alias("key"), F.lit("both").alias("role")))
+    second = F.explode(F.when(F.col("__hot"), _second_udf(matcher)(F.col("form"), F.when(F.col("__hot"), F.col("token")), F.col("counts"))).otherwise(alone)).alias("x")
+    apart = marked.select("scope", "shard", "role", "token", "id", "form", "counts", second)
+    sharded = apart.select("scope", F.when(F.col("x.key") == "", F.col("shard")).otherwise(F.concat_ws(" ", "shard", "x.key")).alias("shard"), "role", F.col("x.role").alias("role2"), "token", "id", "form", "counts")
     # a fixed number of tasks: these rows are few bytes but much work, and AQE would join them into a few tasks
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sharded.repartition(tasks, "scope", "shard").sortWithinPartitions("scope", "shard").mapInPandas(lambda batches: _link_sorted(batches, matcher), LINKS.format(kind=kind))
@@ -543,9 +623,28 @@ def _words_udf(forms: DataFrame) -> DataFrame:
     return forms.select("scope", "id", "form", F.posexplode(split("form")).alias("pos", "token"))
 
 
-def _shard_udf(token):
-    kind = T.ArrayType(T.StructType([T.StructField("shard", T.StringType()), T.StructField("role", T.StringType())]))
-    return F.pandas_udf(lambda s: s.map(lambda t: [{"shard": a, "role": b} for a, b in _shards(t)]), kind)(token)
+def _shard_udf(matcher: Matcher):
+    """All (shard, role, token) of a form in a large scope: of its words and of the keys they share beyond the bound."""
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("token", "shard", "role")]))
+
+    def places(form: str, counts) -> list[dict]:
+        out, n = {}, dict(zip(words_of(form), counts, strict=True))
+        for word, abbreviated in parts_of(form):
+            if len(word) > 1:
+                out |= {(word, shard, role): None for shard, role in _shards(word)}
+                out |= {(key, key, role): None for key, role in exact_keys(word, abbreviated, n.get(word, 1) >= matcher.common, matcher)}
+        return [{"token": t, "shard": s, "role": r} for t, s, r in out]
+
+    return F.pandas_udf(lambda f, c: pd.Series([places(*x) for x in zip(f, c, strict=True)], dtype=object), kind)
+
+
+def _second_udf(matcher: Matcher):
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("key", "role")]))
+
+    def keys(form: str, token: str | None, counts) -> list[dict]:
+        return [{"key": k, "role": r} for k, r in second_keys(form, token, dict(zip(words_of(form), counts, strict=True)), matcher)] if token else []
+
+    return F.pandas_udf(lambda f, t, c: pd.Series([keys(*x) for x in zip(f, t, c, strict=True)], dtype=object), kind)
 
 
 def same_entity_pairs(linked: DataFrame, key: str = "dup_id", scope: str = "company_id") -> DataFrame:
