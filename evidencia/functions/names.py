@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -10,56 +9,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Legal forms as words of a normalised name, tried in this order from the end of a name.
-LEGAL_SUFFIXES = tuple(
-    tuple(x.split())
-    for x in (
-        "corporation", "incorporated", "company", "limited", "corp", "inc", "llc", "ltd", "co ltd", "s a", "s l",
-        "s p a", "sa", "sl", "spa", "gmbh", "plc", "pty", "pte", "bv", "nv", "b v", "n v", "ag", "ab", "oy",
-    )
-)
+# Legal forms as words at the end of a normalised name.
+LEGAL_FORMS = [
+    "corporation", "incorporated", "company", "limited", "corp", "inc", "llc", "ltd", "s a", "s l", "s p a", "sa", "sl",
+    "spa", "gmbh", "plc", "pty", "pte", "bv", "nv", "b v", "n v", "ag", "ab", "oy",
+]
+
+# Forms of address before a person's name.
 HONORIFICS = r"(?i)^(?:(?:mr|mrs|ms|miss|herr|frau|dr|prof|dipl[.-]*ing)\.?\s+)+"
 
 
-def normalise(name: str) -> str:
-    """Words of letters and figures in folded case, marks dropped, one space between."""
-    folded = unicodedata.normalize("NFKD", name).casefold()
-    return " ".join(re.findall(r"[^\W_]+", "".join(c for c in folded if not unicodedata.combining(c))))
+def unmarked(text: str | None) -> str | None:
+    """Folded case without marks."""
+    return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if unicodedata.category(c) not in ("Mn", "Mc", "Me"))
+
+
+_unmarked = F.pandas_udf(lambda s: s.map(unmarked), T.StringType())
 
 
-def without_legal_form(words: list[str]) -> list[str]:
-    while words:
-        suffix = next((s for s in LEGAL_SUFFIXES if tuple(words[-len(s) :]) == s), None)
-        if suffix is None:
-            break
-        words = words[: -len(suffix)]
-    return words
+def _folded(text: Column) -> Column:
+    """unmarked as a column: plain ASCII stays on the JVM, as only decomposition has no function there."""
+    ascii_ = text.rlike(r"^\p{ASCII}*$")
+    return F.when(ascii_, F.lower(text)).otherwise(_unmarked(F.when(~ascii_, text)))
 
 
-def aliases(name: str) -> list[str]:
-    """The full form, what stands in brackets if it has four letters, and the name without its legal forms; in order."""
-    found = [normalise(name)]
-    found += [a for a in map(normalise, re.findall(r"\(([^()]*)\)", name)) if len(a.replace(" ", "")) >= 4]
-    found.append(" ".join(without_legal_form(normalise(re.sub(r"\([^()]*\)", " ", name)).split())))
-    return [a for a in dict.fromkeys(found) if a]
+def _worded(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
 def normalised_name(name: Column) -> Column:
-    """Null stays null. Unicode decomposition has no JVM function, so this is an Arrow batch function."""
+    """Words of letters and figures in folded case, marks dropped, one space between; null stays null."""
+    return _worded(_folded(name))
 
-    @F.pandas_udf(T.StringType())
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else normalise(n))
 
-    return run(name)
+def without_legal_forms(words: Column) -> Column:
+    """A normalised name without the legal forms at its end, all of them; empty where nothing else is in it."""
+    return F.trim(F.regexp_replace(F.concat(F.lit(" "), words), "(?: (?:" + "|".join(LEGAL_FORMS) + "))+$", ""))
 
 
 def name_aliases(name: Column) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else aliases(n))
+    """The full form, what stands in brackets if it has four letters, and the name without brackets and legal forms.
 
-    return run(name)
+    In this order, each once, none empty; a name without words gives an empty array, null gives null.
+    """
+    folded = _folded(name)
+    inner = F.filter(F.transform(F.regexp_extract_all(folded, F.lit(r"\(([^()]*)\)"), F.lit(1)), _worded), lambda a: F.length(F.replace(a, F.lit(" "), F.lit(""))) >= 4)
+    base = without_legal_forms(_worded(F.regexp_replace(folded, r"\([^()]*\)", " ")))
+    return F.array_distinct(F.filter(F.concat(F.array(_worded(folded)), inner, F.array(base)), lambda a: a != ""))
 
 
 def without_honorifics(name: Column) -> Column:
@@ -67,10 +63,11 @@ def without_honorifics(name: Column) -> Column:
 
 
 def without_initials(name: Column) -> Column:
-    """Leading initials dropped, for looking a person up; the whole name where nothing else would be left."""
+    """The name from its first word of two letters on, for looking a person up; the whole name where it has none."""
     full = without_honorifics(name)
-    rest = F.regexp_replace(full, r"^(?:[A-Za-z](?:\.\s*|\s+))+", "")
-    return F.when(F.length(F.regexp_replace(rest, r"[^\p{L}\p{N}]", "")) > 1, rest).otherwise(full)
+    words = F.split(F.regexp_replace(full, r"(?<=\b\p{L})\.\s*", ". "), r"\s+")
+    later = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(r"\p{L}[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
+    return F.when(F.size(later) > 0, F.array_join(F.slice(words, F.get(later, 0) + 1, F.size(words)), " ")).otherwise(full)
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
@@ -83,3 +80,10 @@ def slug(name: Column, most: int = 60) -> Column:
     short = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
     short = F.regexp_replace(short, "-+$", "")
     return F.when(short != "", short).otherwise(F.concat(F.lit("company-"), F.substring(F.sha2(name, 256), 1, 10)))
+
+
+def name_from_title(title: Column) -> Column:
+    """A person's name at the head of a hit's title: two to six words of letters, each with a capital; else empty."""
+    words = F.split(normalised_name(F.trim(F.substring_index(F.substring_index(title, " - ", 1), " | ", 1))), " ")
+    good = F.size(words).between(2, 6) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$"))
+    return F.coalesce(F.when(good, F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 200))), " ")), F.lit(""))

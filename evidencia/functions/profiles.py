@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .urls import path
 
 # Parts of a profile address that are no names, and small words inside names.
-GENERIC = "admin buyer company contact director employee employees engineer manager member members official people person profile procurement purchasing quality search sales sourcing technical unknown user".split()
-PARTICLES = "da de del den der di do dos du la le van von".split()
+GENERIC = [
+    "admin", "buyer", "company", "contact", "director", "employee", "employees", "engineer", "manager", "member", "members", "official", "people",
+    "person", "profile", "procurement", "purchasing", "quality", "search", "sales", "sourcing", "technical", "unknown", "user",
+]
+PARTICLES = ["da", "de", "del", "den", "der", "di", "do", "dos", "du", "la", "le", "van", "von"]
 
 # Labels of countries in other words than their two letters.
 REGIONS = {
@@ -62,6 +65,12 @@ def pattern_of(local: Column, first: Column, last: Column) -> Column:
     )
 
 
+def shape_of(local: Column) -> Column:
+    """How an address' local part looks: 'f.last', 'first.last' or 'first_last'; empty for any other look."""
+    plain = F.regexp_replace(local, r"\+.*$", "")
+    return F.when(plain.rlike(r"^[a-z]\.[a-z]{2,}$"), "f.last").when(plain.rlike(r"^[a-z]{2,}\.[a-z]{2,}$"), "first.last").when(plain.rlike(r"^[a-z]{2,}_[a-z]{2,}$"), "first_last").otherwise("")
+
+
 def rendered(pattern: Column, first: Column, last: Column) -> Column:
     initial = F.substring(first, 1, 1)
     return (
@@ -72,3 +81,19 @@ def rendered(pattern: Column, first: Column, last: Column) -> Column:
         .when(pattern == "first_last", F.concat(first, F.lit("_"), last))
         .when(pattern == "firstlast", F.concat(first, last))
     )
+
+
+# Search engines asked everywhere, and the one asked besides in some regions.
+EVERYWHERE = "google cse"
+LOCAL_ENGINES = {"BY": "yandex", "CN": "baidu", "KG": "yandex", "KR": "naver", "KZ": "yandex", "RU": "yandex", "UZ": "yandex"}
+
+
+def engines_of(region_: Column) -> Column:
+    """The engines of a region with one of its own; an empty array for any other region and for null."""
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in LOCAL_ENGINES.items() for x in pair]), F.upper(F.trim(region_)))
+    return F.when(own.isNotNull(), F.array(F.lit(EVERYWHERE), own)).otherwise(F.array().cast("array<string>"))
+
+
+def listed(value: Column) -> Column:
+    """Names of a list with commas between, trimmed, none empty."""
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")

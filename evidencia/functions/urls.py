@@ -84,3 +84,47 @@ def in_scope(website: Column, url: Column) -> Column:
     subtree = own.rlike(r"(?i)/(companies|empresas|subsidiaries)/[^/]+")
     inside = (other == own) | F.startswith(other, F.concat(own, F.lit("/")))
     return (host(website) != "") & (host(website) == host(url)) & (~subtree | inside)
+
+
+def official_scope(website: Column, url: Column) -> Column:
+    """The website's host or one under it, below the website's own path; an index page stands for its folder."""
+    root = F.regexp_replace(path(website), r"(?i)/index\.(html?|php|aspx?)$", "")
+    own, other = host(website), host(url)
+    hosted = (own != "") & ((other == own) | F.endswith(other, F.concat(F.lit("."), own)))
+    below = (root == "") | (path(url) == root) | F.startswith(path(url), F.concat(root, F.lit("/")))
+    return F.coalesce(hosted & below, F.lit(False))
+
+
+def on_domain(url: Column, domain: str) -> Column:
+    """The host is the domain or lies under it."""
+    return F.coalesce((host(url) == domain) | host(url).endswith("." + domain), F.lit(False))
+
+
+def profile_kind(url: Column, domain: str = "linkedin.com") -> Column:
+    """'person' or 'company' for an address of such a profile, else 'pdf' for a file's address, else empty."""
+    first = F.get(F.filter(F.split(F.lower(path(url)), "/"), lambda p: p != ""), 0)
+    social = on_domain(url, domain)
+    return F.when(social & (first == "in"), "person").when(social & (first == "company"), "company").when(F.lower(path(url)).endswith(".pdf"), "pdf").otherwise("")
+
+
+def distinctive(words: Column, url: Column, whole: bool = True) -> Column:
+    """Whether a word of three letters or more stands in the address (or, if not whole, in its host), signs left out."""
+    compact = F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(url), url)) if whole else host(url), "[^a-z0-9]", "")
+    return F.coalesce(F.exists(words, lambda w: (F.length(w) >= 3) & F.contains(compact, w)), F.lit(False))
+
+
+def website(value: Column, strict: bool = False) -> Column:
+    """A firm's website with https:// where it has no scheme; blank for a blank one.
+
+    An address that isn't of the web, or has no host, is blank, or an error if strict.
+    """
+    text = F.trim(F.coalesce(value, F.lit("")))
+    full = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("https://"), text))
+    bad = F.raise_error(F.concat(F.lit("no web address: "), text)).cast("string") if strict else F.lit("")
+    return F.when(text == "", "").when(full.rlike(r"(?i)^https?://([^/?#@]*@)?[^/?#:@\s]"), full).otherwise(bad)
+
+
+def mirrored(url: Column, domain: str = "linkedin.com", mirror: str = "tt") -> Column:
+    """A company profile's address and the one of its public mirror, each once; an empty array for any other address."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"^([A-Za-z]+://)[^/]+", f"$1{mirror}.{domain}")
+    return F.when(profile_kind(url, domain) == "company", F.array_distinct(F.array(F.trim(url), plain))).otherwise(F.array().cast("array<string>"))

@@ -50,18 +50,32 @@ def test_in_scope(spark):
     assert all(r[0] == r[1] for r in df.select(urls.in_scope(F.col("w"), F.col("u")), "want").collect())
 
 
-def test_names():
-    assert names.normalise("Straße GmbH & Co_KG") == "strasse gmbh co kg"
-    assert names.normalise("Łódź Été") == "łodz ete"
-    assert names.aliases("Example Minerals (Southern Works) Ltd") == ["example minerals southern works ltd", "southern works", "example minerals"]
-    # the loop meets "ltd" before "co ltd", so "co" stays
-    assert names.aliases("X Co Ltd") == ["x co ltd", "x co"]
-    assert names.aliases("") == []
+def test_names(spark):
+    assert column(spark, names.normalised_name, ["Straße GmbH & Co_KG", "Łódź Été", None, ""]) == ["strasse gmbh co kg", "łodz ete", None, ""]
+    cases = {
+        "Example Minerals (Southern Works) Ltd": ["example minerals southern works ltd", "southern works", "example minerals"],
+        "X Co Ltd": ["x co ltd", "x co"],  # "co" alone is no legal form
+        "Sté Exemple S.p.A. Limited": ["ste exemple s p a limited", "ste exemple"],
+        "": [],
+        None: None,
+    }
+    assert column(spark, names.name_aliases, cases) == list(cases.values())
+
+
+def test_title_names_engines_and_websites(spark):
+    assert column(spark, names.name_from_title, ["pat SAMPLE - Buyer | x", "Example", "Pat Sample 2", None]) == ["Pat Sample", "", "", ""]
+    assert column(spark, profiles.engines_of, [" ru ", "DE", None]) == [["google cse", "yandex"], [], []]
+    assert column(spark, profiles.listed, ["a, b ,,c", ""]) == [["a", "b", "c"], []]
+    assert column(spark, urls.website, [" a.test/x ", "ftp://a.test", "http://", None, "HTTP://b.test"]) == ["https://a.test/x", "", "", "", "HTTP://b.test"]
+    with pytest.raises(Exception, match="no web address"):
+        column(spark, lambda c: urls.website(c, strict=True), ["ftp://a.test"])
+    assert column(spark, urls.mirrored, ["https://www.linkedin.com/company/x?trk=1", "https://linkedin.com/in/x"]) == [["https://www.linkedin.com/company/x?trk=1", "https://tt.linkedin.com/company/x"], []]
+    assert column(spark, urls.profile_kind, ["https://de.linkedin.com/in/x", "https://linkedin.com/company/y", "https://a.test/b.PDF?x=1", "https://linkedin.com.evil.test/in/x", None]) == ["person", "company", "pdf", "", ""]
 
 
 def test_person_names(spark):
     assert column(spark, names.without_honorifics, ['Dr. Prof. Pat "Sample"', "Herr von Sample", "Mrs. X", None]) == ["Pat  Sample", "von Sample", "X", None]
-    assert column(spark, names.without_initials, ["J. R. Sample", "J.", "Pat Sample"]) == ["Sample", "J.", "Pat Sample"]
+    assert column(spark, names.without_initials, ["J. R. Sample", "J.", "Pat Sample", "J.R.Sample von X"]) == ["Sample", "J.", "Pat Sample", "Sample von X"]
 
 
 def test_slug(spark):
