@@ -32,12 +32,17 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp")))
 
 
-def keyset_page(df: DataFrame, key: str, after: int, limit: int) -> DataFrame:
-    """The next `limit` rows by key beyond `after`: a filter that reaches the scan, and a top-k without a full sort."""
-    return df.where(F.col(key) > after).orderBy(key).limit(limit)
+def keyset_page(df: DataFrame, key: str, after: int, limit: int, ties: list[str] | None = None) -> DataFrame:
+    """The next `limit` rows by key, then ties, beyond `after`: a filter that reaches the scan, and a top-k without a full sort."""
+    return df.where(F.col(key) > after).orderBy(key, *(ties or [])).limit(limit)
 
 
 def relevance(text: Column, term: str) -> Column:
     """0 equal, 1 begins with the term, 2 holds it, whatever the case; null for no match."""
     t, x = term.lower(), F.lower(text)
     return F.when(x == t, 0).when(F.startswith(x, F.lit(t)), 1).when(F.contains(x, F.lit(t)), 2)
+
+
+def best_matches(df: DataFrame, text: str, term: str, limit: int, ties: list[str]) -> DataFrame:
+    """df with `tier`, the `limit` rows that hold the term: best tier first, then by text and ties."""
+    return df.withColumn("tier", relevance(F.col(text), term)).where("tier is not null").orderBy("tier", F.lower(text), *ties).limit(limit)

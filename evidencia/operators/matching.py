@@ -50,7 +50,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other:
 
     Positions are whole numbers. Both sides meet in cells of the radius' width, so a key with very many rows is split.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
+    cell = lambda c: F.floor(F.col(c) / F.lit(max(radius, 1))).cast("long")
     r = right.select(*keys, other, id_).withColumn("__cell", F.explode(F.array(cell(other) - 1, cell(other), cell(other) + 1)))
     pairs = left.withColumn("__cell", cell(at)).join(r, [*keys, "__cell"]).withColumn("distance", F.abs(F.col(at) - F.col(other))).where(F.col("distance") <= radius)
     best = F.min(F.struct("distance", other, id_)).alias("__best")

@@ -5,8 +5,12 @@ Where order decides, it is a column. Ties end at a unique key, so results are th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import free_name
 
@@ -37,24 +41,69 @@ def fallback(df: DataFrame, group: list[str], rank: str) -> DataFrame:
     return joined.where(F.col(rank) == F.col("__best")).drop("__best")
 
 
-def running_cap(df: DataFrame, group: list[Column], order: list[Column], size: Column, cap: int) -> DataFrame:
-    """Rows with `used`, the size so far, and `kept`, how much of the row fits under the cap."""
-    used = F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", used).withColumn("kept", F.greatest(F.lit(0), F.least(size, F.lit(cap) - (used - size))))
-
+def running_cap(df: DataFrame, group: list[str], order: str, size: Column, cap: int, width: int) -> DataFrame:
+    """Rows with `used`, the size so far, and `kept`, how much of the row fits under the cap.
 
-def fair_share(sizes: Column, total: int, most: int) -> Column:
-    """Parts of a budget: each item in turn gets its size, the cap, or an equal part of what is left for the rest.
-
-    One fold over the array; division rounds down.
+    Rows come in the order of a whole number, unique in its group. Sums of stretches of `width` numbers run first, so
+    a group with very many rows is added up in as many tasks as it has stretches.
     """
-    start = F.struct(F.lit(total).cast("long").alias("left"), F.size(sizes).cast("long").alias("items"), F.array().cast("array<bigint>").alias("got"))
-
-    def step(acc: Column, size: Column) -> Column:
-        part = F.least(size.cast("long"), F.lit(most).cast("long"), F.floor(acc["left"] / F.greatest(acc["items"], F.lit(1))).cast("long"))
-        return F.struct((acc["left"] - part).alias("left"), (acc["items"] - 1).alias("items"), F.concat(acc["got"], F.array(part)).alias("got"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["got"])
+    s, stretch, before = free_name(df, "__size"), free_name(df, "__stretch"), free_name(df, "__before")
+    sized = df.withColumn(s, size).withColumn(stretch, F.floor(F.col(order) / width))
+    sums = sized.groupBy(*group, stretch).agg(F.sum(s).alias(before))
+    upto = F.sum(before).over(Window.partitionBy(*group).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn(before, F.coalesce(upto, F.lit(0)))
+    inside = F.sum(s).over(Window.partitionBy(*group, stretch).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    used = F.col(before) + F.col("used")
+    joined = sized.withColumn("used", inside).join(sums, [*group, stretch]).withColumn("used", used)
+    return joined.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(s), F.lit(cap) - (F.col("used") - F.col(s))))).drop(s, stretch, before)
+
+
+def fair_share(sizes: list[int], total: int, most: int) -> list[int]:
+    """Parts of a budget: each item in turn gets its size, the cap, or an equal part of what is left, rounded down."""
+    left, parts = total, []
+    for i, size in enumerate(sizes):
+        parts.append(min(size, most, left // (len(sizes) - i)))
+        left -= parts[-1]
+    return parts
+
+
+def fair_share_rows(df: DataFrame, group: str, order: str, size: str, total: int, most: int) -> DataFrame:
+    """df with `part`, as fair_share gives it to the rows of a group in their order; null is a group of its own.
+
+    Each part depends on the one before, so a group runs through one task, row by row: nothing of it is held. A row
+    without size gets nothing and takes no place.
+    """
+    counted = df.where(F.col(size).isNotNull())
+    n = counted.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__items"))
+    rows = counted.join(n, F.col(group).eqNullSafe(F.col("__g"))).drop("__g").repartition(group).sortWithinPartitions(group, order)
+    schema, columns = T.StructType([*df.schema.fields, T.StructField("part", T.LongType())]), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, items = object(), 0, 0
+        for batch in batches:
+            parts = []
+            for g, s, many in zip(*(batch.column(c).to_pylist() for c in (group, size, "__items")), strict=True):
+                if g != now or not items:
+                    now, left, items = g, total, many
+                parts.append(min(s, most, left // items))
+                left, items = left - parts[-1], items - 1
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.int64())], names=[*columns, "part"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def breaker(df: DataFrame, group: list[str], order: list[str], failed: Column, worked: Column, most: int, at: str) -> DataFrame:
+    """(group..., stopped): when the `most`-th failure since the last success came; null where it never did.
+
+    What neither failed nor worked changes nothing.
+    """
+    run, n = free_name(df, "__run"), free_name(df, "__n")
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    since = df.withColumn(run, F.sum(F.when(worked, 1).otherwise(0)).over(w))
+    inside = Window.partitionBy(*group, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = since.withColumn(n, F.sum(F.when(failed, 1).otherwise(0)).over(inside))
+    return counted.groupBy(*group).agg(F.min(F.when(F.col(n) >= most, F.col(at))).alias("stopped"))
 
 
 def capped_gaps(df: DataFrame, group: list[str], ts: str, cap_seconds: float) -> DataFrame:

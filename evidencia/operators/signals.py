@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contacts import emails, phones
+from ..functions.contacts import emails, labelled_chats, phones
 from ..functions.urls import profile_key, source_key
 
 SECTION = r"\n\s*\n|\n(?=[ \t]*#{1,6}\s)|\n(?=[ \t]*\*\*[^*\n]+\*\*[ \t]*(?:\n|$))"
@@ -25,12 +25,13 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 def signals(df: DataFrame, key: str, url: str, text: str, domain: str = "linkedin.com") -> DataFrame:
     """(key, source_url, channel, value, ord): every distinct contact value of a text in order of its appearance.
 
-    Channels: email, linkedin, whatsapp, phone. A whatsapp link counts as a phone too. Null texts have no signals.
+    Channels: email, linkedin, whatsapp, phone. A whatsapp link or label counts as a phone too. Null texts have no signals.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     links = F.regexp_extract_all(body, F.lit(r"(?i)(https?://(?:[a-z]{2,3}\.)?" + domain.replace(".", r"\.") + r"/in/[\w%./?=&-]+)"), F.lit(1))
     profiles = F.array_distinct(F.transform(links, lambda x: profile_key(F.regexp_replace(x, r"[.,;:)\]}]+$", ""), domain)))
     chats = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"(?i)https?://(?:wa\.me/|api\.whatsapp\.com/send\?phone=)\+?(\d[\d -]{5,18})"), F.lit(1)), lambda x: F.concat(F.lit("+"), F.regexp_replace(x, r"\D", ""))))
+    chats = F.array_union(chats, labelled_chats(body))
     per = {"email": emails(body), "linkedin": profiles, "whatsapp": chats, "phone": F.array_union(chats, phones(body))}
 
     def tagged(channel: str, values: Column) -> Column:
@@ -56,3 +57,10 @@ def page_links(df: DataFrame, key: str, text: str, links: str | None = None) ->
         all_ = F.concat(F.transform(F.coalesce(F.col(links), F.array().cast("array<struct<href:string,text:string>>")), lambda x: F.struct(x["href"].alias("href"), F.coalesce(x["text"], F.lit("")).alias("label"))), written)
     each = df.select(F.col(key), F.explode(all_).alias("l")).select(key, "l.label", "l.href")
     return each.where(F.col("href").rlike("(?i)^https?://") & ~F.regexp_replace("href", "[?#].*$", "").rlike(ASSET)).distinct()
+
+
+def bound_sections(found: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(key, channel, value, section_no): the sections of its text in which each value stands."""
+    from .claims import holds_value
+
+    return found.join(parts, key).where(holds_value(F.col("channel"), F.col("value"), F.col("section"))).select(key, "channel", "value", "section_no").distinct()

@@ -43,10 +43,37 @@ def markdown_results(df: DataFrame, key: str, body: str) -> DataFrame:
 
 def sitemap_locations(df: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, pos, url): the distinct web addresses of a sitemap's loc elements in order, whatever the namespace."""
-    found = F.array_distinct(F.transform(F.xpath(F.col(xml), F.lit('//*[local-name()="loc"]/text()')), F.trim))
+    found = F.array_distinct(F.transform(F.xpath(F.col(xml), F.lit('//*[local-name()="loc"]/text()')), lambda x: F.trim(x)))
     return df.select(F.col(key), F.posexplode(F.filter(found, lambda u: u.rlike("(?i)^https?://"))).alias("pos", "url"))
 
 
+COMPANY = "name string, website string, linkedin_url string, industries array<string>, products array<string>, crm_contact_count int, target_contact_count int, customs_search_enabled boolean"
+
+
+def company_input(spark: SparkSession, path: str) -> DataFrame:
+    """Firms from JSON files, one object each, with `reason`: why a record can't be taken, empty where it can."""
+    raw = spark.read.schema(COMPANY).option("multiLine", True).json(path)
+    return raw.withColumn("reason", reject_reason())
+
+
+def reject_reason() -> Column:
+    """Why a firm's record can't be taken, by its columns; empty where it can."""
+    blank = F.coalesce(F.trim("name"), F.lit("")) == ""
+    return F.when(blank, "blank name").when(F.col("crm_contact_count") < 0, "negative contact count").when(F.col("target_contact_count") < 0, "negative target").when(F.col("customs_search_enabled").isNull(), "no flag").otherwise("")
+
+
+def clamped(limit: int, most: int) -> int:
+    """How many results to ask a provider for: from 1 to the most it gives."""
+    return max(1, min(most, limit))
+
+
+def redacted(text: Column, *secrets: str) -> Column:
+    """A message without the keys it may repeat."""
+    for s in filter(None, secrets):
+        text = F.replace(text, F.lit(s), F.lit("***"))
+    return text
+
+
 def first_json_object(text: str | None) -> str | None:
     """The first JSON object that can be read out of noisy text, written again in short form."""
     decoder = json.JSONDecoder()
@@ -65,8 +92,12 @@ def json_object(text: Column) -> Column:
     return run(text)
 
 
-def capped_text(pages: DataFrame, doc: str, page_no: str, text: str, cap: int = 250_000) -> DataFrame:
-    """(doc, text, pages): page texts under their markers, cut at `cap` characters a document."""
+def capped_text(pages: DataFrame, doc: str, page_no: str, text: str, cap: int = 250_000, most: int = 60) -> DataFrame:
+    """(doc, text, pages): a document's first `most` page texts under their markers, cut at `cap` characters in all.
+
+    A page without text, as one that couldn't be read, takes no place.
+    """
+    pages = pages.where(F.col(text).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(doc).orderBy(page_no))).where(F.col("__n") <= most)
     w = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, 0)
     running = pages.withColumn("__before", F.sum(F.length(text)).over(w) - F.length(text)).where(F.col("__before") < cap)
     part = F.substring(F.col(text), F.lit(1), (F.lit(cap) - F.col("__before")).cast("int"))

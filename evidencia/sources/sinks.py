@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import first_by
+
 
 def write_tables(tables: dict[str, DataFrame], folder: str, by: list[str] | None = None) -> None:
     """Each table into its own Parquet folder, in folders by key where the table has the key."""
@@ -25,6 +29,15 @@ def assembled(groups: dict[str, DataFrame], key: str) -> DataFrame:
     return listed.withColumn("f", field).groupBy("k").agg(F.sort_array(F.collect_list("f")).alias("fs")).select(F.col("k").alias(key), F.concat(F.lit("{"), F.array_join("fs", ","), F.lit("}")).alias("result"))
 
 
-def absent_only(new: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of `new` whose key `present` doesn't have, the first of each key: what an insert may add."""
-    return new.dropDuplicates(on).join(present.select(*on).distinct(), on, "left_anti")
+def absent_only(new: DataFrame, present: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """Rows of `new` whose key `present` doesn't have, the least of each key by `order` and then all columns: what an insert may add."""
+    rest = [c for c in new.columns if c not in on and c not in order]
+    return first_by(new, on, order, rest).join(present.select(*on).distinct(), on, "left_anti").select(*new.columns)
+
+
+def inside(folder: str, path: str) -> str:
+    """The path below the folder; an error for one that leads out of it."""
+    full = os.path.normpath(os.path.join(folder, path))
+    if full != os.path.normpath(folder) and not full.startswith(os.path.normpath(folder) + os.sep):
+        raise ValueError(f"{path} lies outside {folder}")
+    return full

@@ -35,7 +35,7 @@ def test_fallback_takes_the_first_source_as_a_whole(spark):
 
 def test_budgets(spark):
     df = spark.createDataFrame([(1, 1, 30), (1, 2, 30), (1, 3, 30), (2, 1, 100)], "g int, o int, n int")
-    got = ordered.running_cap(df, [F.col("g")], [F.col("o")], F.col("n"), 70)
+    got = ordered.running_cap(df, ["g"], "o", F.col("n"), 70, 2)
     assert rows(got.select("g", "o", "kept")) == [(1, 1, 30), (1, 2, 30), (1, 3, 10), (2, 1, 70)]
 
     def loop(sizes, total, most):
@@ -46,9 +46,9 @@ def test_budgets(spark):
         return out
 
     sizes = [5, 500, 40, 1000, 7]
-    fold = spark.range(1).select(ordered.fair_share(F.array(*map(F.lit, sizes)), 600, 300)).first()[0]
+    fold = ordered.fair_share(sizes, 600, 300)
     assert fold == loop(sizes, 600, 300)
-    assert spark.range(1).select(ordered.fair_share(F.array().cast("array<int>"), 600, 300)).first()[0] == []
+    assert ordered.fair_share([], 600, 300) == []
 
 
 def test_gaps_and_streaks(spark):
@@ -137,3 +137,64 @@ def test_signals_sections_links(spark):
     assert got == [("email", "info@a.test"), ("linkedin", "https://www.linkedin.com/in/pat-s"), ("phone", "+12025550123"), ("phone", "+12025550199"), ("whatsapp", "+12025550199")]
     assert signals.sections(df, "id", "t").count() == 2
     assert rows(signals.page_links(df, "id", "t").select("label", "href")) == [("Site", "https://a.test/x")]
+
+
+def test_claims(spark):
+    """The first reason that applies; cards veto what they don't hold whole."""
+    from evidencia.operators import claims
+
+    made = [
+        (1, "Pat Sample", "email", "pat@a.test", "u", "observed"),
+        (2, "Pat Sample", "email", "kim@a.test", "u", "observed"),
+        (3, "Pat Sample", "phone", "+12025550123", "u", "observed"),
+        (4, "Pat Sample", "email", "pat@a.test", "other", "observed"),
+        (5, "Pat Sample", "email", "pat@a.test", None, "observed"),
+        (6, "Pat Sample", "email", "two@a.test", "u", "observed"),
+        (7, "Pat Sample", "email", "p.s@a.test", "u", "guessed"),
+        (8, "Pat Sample", "linkedin", "https://x/in/p", "u", "observed"),
+        (9, None, "email", "pat@a.test", "u", "observed"),
+    ]
+    c = spark.createDataFrame(made, "claim_id long, name string, channel string, value string, source string, status string")
+    quotes = spark.createDataFrame([("u", "Sample, PAT? pat sample: pat@a.test, two@a.test p.s@a.test"), ("u", "Kim Other kim@a.test"), ("u", "pat sample +1 202 555-0123"), ("u", None)], "source string, text string")
+    observed = spark.createDataFrame([("email", "pat@a.test", "u"), ("email", "kim@a.test", "u"), ("phone", "+12025550123", "u"), ("email", "two@a.test", "u")], "channel string, value string, source string")
+    blocked = spark.createDataFrame([("email", "two@a.test")], "channel string, value string")
+    fetched = spark.createDataFrame([("u",), ("u",)], "source string")
+    got = {r["claim_id"]: r["verdict"] for r in claims.validated(c, observed, blocked, fetched, quotes).collect()}
+    assert got == {1: "accepted", 2: "not bound", 3: "accepted", 4: "source not fetched", 5: "no source", 6: "conflicting", 7: "accepted", 8: "not observed", 9: "not bound"}
+    cards = spark.createDataFrame([("u", "Pat Sample, buyer"), ("u", "Kim Other pat@a.test")], "source string, text string")
+    vetoed = {r["claim_id"]: r["verdict"] for r in claims.validated(c, observed, blocked, fetched, quotes, cards).collect()}
+    assert vetoed[1] == "not bound" and vetoed[4] == "source not fetched"
+    assert claims.validated(c.limit(0), observed, blocked, fetched, quotes).count() == 0
+
+
+def test_known_contacts_and_merging(spark):
+    from evidencia.operators import claims
+
+    people = spark.createDataFrame([(1, 7, "pat sample"), (2, 7, "kim other"), (3, 7, "lee new"), (4, 8, "pat sample")], "id long, scope long, name string")
+    contacts = spark.createDataFrame([(1, 7, "email", "pat@a.test"), (1, 7, "phone", "1202"), (2, 7, "email", "kim@a.test"), (3, 7, "email", "lee@a.test"), (4, 8, "email", "pat@a.test")], "id long, scope long, channel string, key string")
+    known = spark.createDataFrame([(7, "name", "pat sample"), (7, "email", "pat@a.test"), (7, "email", "kim@a.test"), (7, "email", None)], "scope long, channel string, key string")
+    kept, fresh = claims.against_known(people, contacts, known)
+    assert {r["id"]: r["matched_by"] for r in kept.collect()} == {1: "email,name", 3: "", 4: ""}
+    assert sorted((r["id"], r["key"]) for r in fresh.collect()) == [(1, "1202"), (3, "lee@a.test"), (4, "pat@a.test")]
+    rows = lambda xs: spark.createDataFrame(xs, "scope long, key string, verified boolean, id long")
+    got = {r["key"]: (r["verified"], r["id"], r["sources"]) for r in claims.merged_people(rows([(1, "a", False, 1), (1, "b", True, 2)]), rows([(1, "a", True, 9), (1, "b", False, 8), (1, "c", False, 7), (1, None, True, 6)])).collect()}
+    assert got == {"a": (True, 9, 2), "b": (True, 2, 2), "c": (False, 7, 1)}
+    reach = spark.createDataFrame([(1, "x", "guessed"), (2, "y", "observed"), (3, " ", "observed")], "id long, value string, status string")
+    who = spark.createDataFrame([(1, 5, "A", True, ""), (2, 5, "B", True, ""), (3, 5, "C", True, ""), (4, 5, "D", True, "")], "id long, g long, name string, verified boolean, matched_by string")
+    assert [tuple(r) for r in claims.contactable(who, reach, "g").collect()] == [(5, 1, 2)]
+
+
+def test_budgets_in_order(spark):
+    from evidencia.operators import ordered
+
+    df = spark.createDataFrame([(g, i, n) for g in ("a", None) for i, n in enumerate([5, 100, 3, 40, 7])] + [("a", 9, None)], "g string, i int, n long")
+    got = {(r["g"], r["i"]): r["part"] for r in ordered.fair_share_rows(df, "g", "i", "n", 60, 30).collect()}
+    want = ordered.fair_share([5, 100, 3, 40, 7], 60, 30)
+    assert want == [5, 13, 3, 19, 7] and got == {(g, i): p for g in ("a", None) for i, p in enumerate(want)}
+    rows = [("s", i, (i * 7) % 11) for i in range(40)]
+    for width in (1, 7, 1000):
+        used = 0
+        out = {r["i"]: (r["used"], r["kept"]) for r in ordered.running_cap(spark.createDataFrame(rows, "g string, i long, n long"), ["g"], "i", F.col("n"), 100, width).collect()}
+        for _, i, n in rows:
+            used += n
+            assert out[i] == (used, max(0, min(n, 100 - (used - n))))

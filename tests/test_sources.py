@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from evidencia.sources import recorded, sinks
 from evidencia.streaming import ledger as streams
 
@@ -72,18 +75,57 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 3
     got = {r[0]: json.loads(r[1]) for r in sinks.assembled({"a": a, "b": a.limit(0)}, "k").collect()}
     assert got == {1: {"a": [{"v": "x"}, {"v": "y"}]}, 2: {"a": [{"v": "z"}]}}
-    assert rows(sinks.absent_only(a, spark.createDataFrame([(2,)], "k int"), ["k"]).select("k")) == [(1,)]
+    assert rows(sinks.absent_only(a, spark.createDataFrame([(2,)], "k int"), ["k"], ["v"])) == [(1, "x")]
+    assert sinks.inside("/out", "a/b.json") == "/out/a/b.json"
+    with pytest.raises(ValueError):
+        sinks.inside("/out", "../x")
 
 
 def test_streams_equal_batches(spark, tmp_path):
+    """Eight files in shuffled order of time over four triggers give the rows of the batch query."""
     from evidencia.operators import ordered
 
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", late="3650 days")
+    for i in range(8):
+        events.where(f"pmod(xxhash64(event_id), 8) = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", late="3650 days", files=2)
     got = streams.run_available(streams.windowed_counts(stream, "ts", "event_type", "1 day"), "w", "update")
     assert got.selectExpr("sum(n)").first()[0] == events.count()
-    single = str(tmp_path / "one")
-    events.coalesce(1).write.parquet(single)
-    stream = streams.event_stream(spark, single, "*.parquet", late="3650 days")
-    assert rows(streams.run_available(streams.active_time(stream, "user_id", "ts", 3600), "t", "update")) == rows(ordered.capped_gaps(events, ["user_id"], "ts", 3600))
+    want = rows(ordered.capped_gaps(events, ["user_id"], "ts", 3600))
+    for _ in range(2):  # a second run doesn't go on from the first one's state
+        stream = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", late="3650 days", files=2)
+        assert rows(streams.run_available(streams.active_time(stream, "user_id", "ts", 3600), "t", "update")) == want
+
+
+def test_late_events_settle(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    for i, minutes in enumerate([[0, 30], [10, 40], [20, 200], [210]]):
+        spark.createDataFrame([(1, at(m)) for m in minutes], "user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", late="60 minutes", files=1)
+    got = streams.run_available(streams.active_time(stream, "user_id", "ts", 900), "late", "update")
+    assert rows(got) == [(1, 50 * 60_000_000)]
+
+
+def test_inputs_limits_and_keys(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"name": " ", "products": ["x"], "customs_search_enabled": True}))
+    assert recorded.company_input(spark, str(tmp_path / "c.json")).first()["reason"] == "blank name"
+    assert [recorded.clamped(n, 20) for n in (-1, 5, 99)] == [1, 5, 20]
+    assert spark.range(1).select(recorded.redacted(F.lit("bad key abc in abc"), "abc", "")).first()[0] == "bad key *** in ***"
+    df = spark.createDataFrame([("d", i, "x" if i != 2 else None) for i in range(1, 6)], "d string, p int, t string")
+    assert recorded.capped_text(df, "d", "p", "t", 100, 3).first()["text"] == "[PDF page 1]\nx\n\n[PDF page 3]\nx\n\n[PDF page 4]\nx"
+
+
+def test_recorded_provider(spark, tmp_path):
+    from evidencia.sources import provider
+
+    body = {"results": [{"title": "a", "url": "https://a.test", "content": "x", "engines": ["e"]}, {"title": "b", "url": "ftp://b"}, {"title": "c", "url": "http://c.test"}]}
+    (tmp_path / "one.jsonl").write_text("\n".join(json.dumps(x) for x in [{"query": "q", "provider": "p", "body": body}, {"query": "r", "provider": "p", "body": "broken"}]) + "\nno json\n")
+    spark.dataSource.register(provider.RecordedResponses)
+    df = spark.read.format("recorded_responses").option("limit", "1").load(str(tmp_path))
+    assert rows(df.select("query", "rank", "url", "public")) == [("q", 1, "https://a.test", True), ("q", 3, "http://c.test", False)]
+    assert [h["url"] for h in provider.Recorded(str(tmp_path)).search("q", 5)] == ["https://a.test", "http://c.test"]
+    provider.register(spark)
+    got = spark.sql("select * from text_sections('a\n\n# b\nc')").collect()
+    assert [tuple(r) for r in got] == [(0, "a"), (1, "# b\nc")]
