@@ -49,32 +49,56 @@ FLAT = r"""list_filter(CASE WHEN regexp_matches(trim({c}), '^[\[{{]')
   ELSE [trim({c})] END, lambda x: x <> '')"""
 
 
+#: Addresses of a text as contacts.emails finds them; signs between words are doubled, so that each address has its own two neighbours.
+_AT = r"regexp_replace({t}, '(\w)\s*[(\[]\s*at\s*[)\]]\s*(\w)', '\1@\2', 'gi')"
+_ADDRESSES = r"list_distinct(list_transform(regexp_extract_all(regexp_replace(" + _AT + r", '([^\w.+%@-])', '\1\1', 'g'), '(?:^|[^\w.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}})(?:[^\w-]|$)', 1), lambda e: lower(e)))"
+MAILS = (
+    "mails AS (SELECT page_id, company_id, regexp_replace(trim(url), '/+$', '') AS source, " + _ADDRESSES.format(t="markdown") + " AS es FROM pdf_pages WHERE markdown IS NOT NULL),"
+    " mail AS (SELECT page_id, company_id, source, unnest(list_filter(es, lambda e: NOT ((e LIKE 'mailto%' AND list_contains(es, substr(e, 7))) OR (e LIKE 'to%' AND list_contains(es, substr(e, 3)))))) AS value FROM mails)"
+)
+#: Sections of a text as signals.sections cuts them, blank ones included.
+SECTIONS = r"unnest(string_split(regexp_replace(regexp_replace(regexp_replace({t}, '\n\s*\n', chr(1), 'g'), '\n([ \t]*#{{1,6}}\s)', chr(1) || '\1', 'g'), '\n([ \t]*\*\*[^*\n]+\*\*[ \t]*)(\n|$|\x01)', chr(1) || '\1\2', 'g'), chr(1)))"
+
+
+def page_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, company_id, source, value): the addresses of each page."""
+    pages = table(spark, sf_dir, "pdf_pages").where("markdown is not null")
+    return pages.select("page_id", "company_id", urls.source_key(F.col("url")).alias("source"), F.explode(contacts.emails(F.col("markdown"))).alias("value"))
+
+
 # ---- values and texts
 
 
-@query(r"""SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(regexp_replace(markdown, '(\w)\s*(?:\(\s*at\s*\)|\[\s*at\s*\])\s*(\w)', '\1@\2', 'gi'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS email
-FROM pdf_pages WHERE markdown IS NOT NULL""")
+@query("WITH " + MAILS + " SELECT page_id, value AS email FROM mail")
 def contact_email_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "pdf_pages").where("markdown is not null")
-    plain = F.regexp_replace("markdown", r"(?i)([a-zA-Z0-9_])\s*(?:\(\s*at\s*\)|\[\s*at\s*\])\s*([a-zA-Z0-9_])", "$1@$2")
-    found = F.regexp_extract_all(plain, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1))
-    return docs.select("page_id", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("email"))
+    return page_mails(spark, sf_dir).select("page_id", F.col("value").alias("email"))
+
+
+_NUMBER = r"((?:\+|00)\s?\d[\d ()./-]{6,20}\d)"
+_E164 = r"(CASE WHEN length(regexp_replace(regexp_replace(replace(v, '(0)', ''), '\D', '', 'g'), '^00', '')) BETWEEN 8 AND 15 AND regexp_replace(regexp_replace(replace(v, '(0)', ''), '\D', '', 'g'), '^00', '') NOT LIKE '0%' THEN '+' || regexp_replace(regexp_replace(replace(v, '(0)', ''), '\D', '', 'g'), '^00', '') END)"
+_FAXED = r"(?i)\b(?:tele|mobile )?(?:fax|facsimile|t[ée]l[ée]copie)\b[ \t]*[:：-]?\s*[+\d][\d ()./-]{6,20}\d"
+_CHAT_LABEL = r"(?i)\bwhatsapp\b[^\d+\n]{0,12}" + _NUMBER
+_CHAT_LINK = r"(?i)https?://(?:wa\.me/|api\.whatsapp\.com/send\?phone=)\+?(\d[\d -]{5,18})"
+_PROFILES = r"(?i)(https?://(?:[a-z]{2,3}\.)?linkedin\.example/in/[\w%./?=&-]+)"
+_TEXTS = "p AS (SELECT page_id, markdown AS t FROM pdf_pages WHERE markdown IS NOT NULL)"
 
 
-@query()
+@query(
+    "WITH " + MAILS + ", " + _TEXTS + ", chat AS (SELECT page_id, '+' || regexp_replace(unnest(regexp_extract_all(t, '" + _CHAT_LINK + "', 1)), '\\D', '', 'g') AS value FROM p UNION SELECT page_id, " + _E164 + " FROM (SELECT page_id, unnest(regexp_extract_all(t, '" + _CHAT_LABEL + "', 1)) AS v FROM p)),"
+    " num AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(t, '" + _FAXED + "', ' ', 'g'), '([^\\d ()./+-])', '\\1\\1', 'g'), '(?:^|[^\\d.,/-])" + _NUMBER + "(?:[^\\d]|$)', 1)) AS v FROM p),"
+    " prof AS (SELECT DISTINCT page_id, regexp_replace(u, '[.,;:)\\]}]+$', '') AS u FROM (SELECT page_id, unnest(regexp_extract_all(t, '" + _PROFILES + "', 1)) AS u FROM p))"
+    " SELECT DISTINCT page_id, channel, value FROM (SELECT page_id, 'email' AS channel, value FROM mail UNION ALL SELECT page_id, 'whatsapp', value FROM chat UNION ALL SELECT page_id, 'phone', value FROM chat UNION ALL SELECT page_id, 'phone', " + _E164 + " FROM num UNION ALL SELECT page_id, 'linkedin', " + PROFILE_KEY.format(u="u") + " FROM prof) WHERE value <> ''"
+)
 def contact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All channels of all pages, with order; look-behind patterns, so no SQL."""
-    return signals.signals(table(spark, sf_dir, "pdf_pages"), "page_id", "url", "markdown", DOMAIN)
+    """All values of all channels of all pages."""
+    return signals.signals(table(spark, sf_dir, "pdf_pages"), "page_id", "url", "markdown", DOMAIN).select("page_id", "channel", "value").distinct()
 
 
-@query(r"""WITH s AS (SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(markdown, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS value FROM pdf_pages WHERE markdown IS NOT NULL),
-c AS (SELECT DISTINCT lower(trim(v)) AS value FROM (SELECT unnest(x.c."values") AS v, x.c.channel AS channel FROM (SELECT unnest(contact_conflicts) AS c FROM pdf_pages) x) WHERE channel = 'email')
-SELECT page_id, value FROM s WHERE value NOT IN (SELECT value FROM c)""")
+@query("WITH " + MAILS + r""", c AS (SELECT DISTINCT lower(trim(v)) AS value FROM (SELECT unnest(x.c."values") AS v, x.c.channel AS channel FROM (SELECT unnest(contact_conflicts) AS c FROM pdf_pages) x) WHERE channel = 'email')
+SELECT page_id, value FROM mail WHERE value NOT IN (SELECT value FROM c)""")
 def conflict_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pdf_pages")
-    found = F.regexp_extract_all("markdown", F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1))
-    mails = pages.where("markdown is not null").select("page_id", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("value"))
-    return matching.without_conflicts(mails, signals.conflicts(pages, "url", "contact_conflicts").where("channel = 'email'"), ["value"])
+    doubt = signals.conflicts(table(spark, sf_dir, "pdf_pages"), "url", "contact_conflicts").where("channel = 'email'")
+    return matching.without_conflicts(page_mails(spark, sf_dir).select("page_id", "value"), doubt, ["value"])
 
 
 @query("SELECT hit_id, " + HOST.format(u="url") + " AS host FROM search_hits WHERE url IS NOT NULL")
@@ -116,9 +140,16 @@ def company_name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "companies").where("name is not null").select("name").distinct().select("name", names.normalised_name(F.col("name")).alias("normalised"))
 
 
-@query()
+_FOLDED = r"replace(lower(strip_accents(name)), 'ß', 'ss')"
+_WORDED = r"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(
+    "WITH u AS (SELECT DISTINCT name, " + _FOLDED + " AS f FROM companies WHERE name IS NOT NULL), a AS (SELECT name, " + _WORDED.format(t="f") + " AS alias FROM u"
+    " UNION SELECT name, b FROM (SELECT name, " + _WORDED.format(t="unnest(regexp_extract_all(f, '\\(([^()]*)\\)', 1))") + " AS b FROM u) WHERE length(replace(b, ' ', '')) >= 4"
+    " UNION SELECT name, trim(regexp_replace(' ' || " + _WORDED.format(t="regexp_replace(f, '\\([^()]*\\)', ' ', 'g')") + ", '(?: (?:" + "|".join(names.LEGAL_FORMS) + "))+$', '')) FROM u) SELECT name, alias FROM a WHERE alias <> ''"
+)
 def company_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loops over suffixes until none is left: no SQL."""
     once = table(spark, sf_dir, "companies").where("name is not null").select("name").distinct()
     return once.select("name", F.explode(names.name_aliases(F.col("name"))).alias("alias"))
 
@@ -139,17 +170,17 @@ def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crm.select("contact_id", F.explode(items).alias("x")).select("contact_id", "x.channel", "x.value")
 
 
-@query(r"""WITH s AS (SELECT page_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS part FROM pdf_pages WHERE markdown IS NOT NULL)
-SELECT page_id, count(*) AS parts, sum(length(part)) AS chars FROM s WHERE trim(part) <> '' GROUP BY page_id""")
+@query("WITH s AS (SELECT page_id, " + SECTIONS.format(t="markdown") + " AS part FROM pdf_pages WHERE markdown IS NOT NULL) SELECT page_id, count(*) AS parts, CAST(sum(length(part)) AS BIGINT) AS chars FROM s WHERE trim(part) <> '' GROUP BY page_id")
 def sections_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "pdf_pages").where("markdown is not null").select("page_id", F.explode(F.split("markdown", r"\n\s*\n")).alias("part"))
-    return parts.where(F.trim("part") != "").groupBy("page_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"))
+    parts = signals.sections(table(spark, sf_dir, "pdf_pages").where("markdown is not null"), "page_id", "markdown")
+    return parts.groupBy("page_id").agg(F.count("*").alias("parts"), F.sum(F.length("section").cast("long")).alias("chars"))
 
 
-@query(r"""SELECT DISTINCT page_id, l.href AS href, coalesce(l.text, '') AS label FROM (SELECT page_id, unnest(links) AS l FROM pdf_pages)
-WHERE regexp_matches(l.href, '(?i)^https?://') AND NOT regexp_matches(regexp_replace(l.href, '[?#].*$', ''), '(?i)\.(png|jpe?g|gif|svg|webp|ico|css|js|woff2?)$')""")
+@query(r"""WITH l AS (SELECT page_id, l.href AS href, coalesce(l.text, '') AS label FROM (SELECT page_id, unnest(links) AS l FROM pdf_pages)
+UNION SELECT page_id, regexp_extract(x, '\]\(([^)\s]+)\)$', 1), regexp_extract(x, '^\[([^\[\]\n]*)\]', 1) FROM (SELECT page_id, regexp_replace(unnest(regexp_extract_all(markdown, '(?:^|[^!])\[[^\[\]\n]*\]\([^)\s]+\)')), '^[^\[]', '') AS x FROM pdf_pages))
+SELECT DISTINCT page_id, href, label FROM l WHERE regexp_matches(href, '(?i)^https?://') AND NOT regexp_matches(regexp_replace(href, '[?#].*$', ''), '(?i)\.(png|jpe?g|gif|svg|webp|ico|css|js|woff2?)$')""")
 def page_links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.page_links(table(spark, sf_dir, "pdf_pages").withColumn("none", F.lit(None).cast("string")), "page_id", "none", "links")
+    return signals.page_links(table(spark, sf_dir, "pdf_pages"), "page_id", "markdown", "links")
 
 
 # ---- ranking, first wins, sets
@@ -188,13 +219,14 @@ def provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH h AS (SELECT hit_id, company_id, provider, hit_ord, " + HIT_KEY.format(u="url") + """ AS key FROM search_hits WHERE url IS NOT NULL),
-a AS (SELECT *, 0 AS branch FROM h WHERE provider = 'listsearch' UNION ALL SELECT *, 1 FROM h WHERE provider = 'metasearch')
+a AS (SELECT *, CASE provider WHEN 'listsearch' THEN 0 WHEN 'metasearch' THEN 1 ELSE 2 END AS branch FROM h)
 SELECT company_id, key, branch, hit_id FROM a QUALIFY row_number() OVER (PARTITION BY company_id, key ORDER BY branch, hit_ord, hit_id) = 1"""
 )
 def provider_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "search_hits").where("url is not null").select("hit_id", "company_id", "provider", "hit_ord", urls.hit_key(F.col("url"), DOMAIN).alias("key"))
-    both = hits.where("provider = 'listsearch'").withColumn("branch", F.lit(0)).unionByName(hits.where("provider = 'metasearch'").withColumn("branch", F.lit(1)))
-    return ordered.first_by(both, ["company_id", "key"], ["branch", "hit_ord", "hit_id"], []).select("company_id", "key", "branch", "hit_id")
+    # a union of the providers' hits in their order, those of no known provider last; one scan, as all come from one table
+    branch = F.when(F.col("provider") == "listsearch", 0).when(F.col("provider") == "metasearch", 1).otherwise(2)
+    return ordered.first_by(hits.withColumn("branch", branch), ["company_id", "key"], ["branch", "hit_ord", "hit_id"], []).select("company_id", "key", "branch", "hit_id")
 
 
 @query("SELECT company_id, trim(query) AS query, min(hit_id) AS first_hit, count(*) AS hits FROM search_hits WHERE query IS NOT NULL GROUP BY 1, 2")
@@ -359,26 +391,29 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.groupBy("batch").agg(F.count("*").alias("jobs"), F.min("us").alias("first_us"))
 
 
-@query("SELECT DISTINCT company_id, name FROM companies WHERE company_id > 40 AND name IS NOT NULL AND trim(name) <> '' ORDER BY company_id, name LIMIT 50")
+@query("SELECT DISTINCT company_id, name FROM companies WHERE company_id > 40 AND trim(name) <> '' AND trim(website) <> '' ORDER BY company_id, name LIMIT 50")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of 50: the limit is the feature."""
-    firms = table(spark, sf_dir, "companies").where("name is not null and trim(name) <> ''").select("company_id", "name").distinct()
-    return firms.where("company_id > 40").orderBy("company_id", "name").limit(50)
+    firms = table(spark, sf_dir, "companies").where("trim(name) <> '' and trim(website) <> ''").select("company_id", "name").distinct()
+    return ledger.keyset_page(firms, "company_id", 40, 50, ["name"])
 
 
 @query("""WITH f AS (SELECT DISTINCT company_id FROM companies)
-SELECT f.company_id, count(c.contact_id) AS contacts, coalesce(array_to_string(list_sort(list(c.contact_id) FILTER (c.contact_id IS NOT NULL)), ','), '') AS ids FROM f LEFT JOIN crm_contacts c ON f.company_id = c.company_id GROUP BY f.company_id""")
+SELECT f.company_id, count(c.contact_id) AS contacts, coalesce(list_sort(list({'contact_id': c.contact_id, 'name': coalesce(c.name, ''), 'email': coalesce(c.email, '')}) FILTER (c.contact_id IS NOT NULL)), []) AS nested FROM f LEFT JOIN crm_contacts c ON f.company_id = c.company_id GROUP BY f.company_id""")
 def correlated_count_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each firm with its contacts nested in one row, as a point read of a firm wants them; an empty list for none."""
     firms = table(spark, sf_dir, "companies").select("company_id").distinct()
-    listed = table(spark, sf_dir, "crm_contacts").groupBy("company_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("contact_id")).alias("list"))
-    return firms.join(listed, "company_id", "left").select("company_id", F.coalesce("n", F.lit(0)).alias("contacts"), F.coalesce(F.array_join("list", ","), F.lit("")).alias("ids"))
+    one = F.struct("contact_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("email", F.lit("")).alias("email"))
+    listed = table(spark, sf_dir, "crm_contacts").groupBy("company_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("list"))
+    return firms.join(listed, "company_id", "left").select("company_id", F.coalesce("n", F.lit(0)).alias("contacts"), F.coalesce("list", F.array().cast("array<struct<contact_id:bigint,name:string,email:string>>")).alias("nested"))
 
 
 @query("""WITH f AS (SELECT DISTINCT company_id, name FROM companies WHERE name IS NOT NULL)
-SELECT company_id, name, CASE WHEN lower(name) = 'ga' THEN 0 WHEN lower(name) LIKE 'ga%' THEN 1 ELSE 2 END AS tier FROM f WHERE name ILIKE '%ga%'""")
+SELECT company_id, name, CASE WHEN lower(name) = 'ga' THEN 0 WHEN lower(name) LIKE 'ga%' THEN 1 ELSE 2 END AS tier FROM f WHERE name ILIKE '%ga%' ORDER BY tier, lower(name), company_id, name LIMIT 20""")
 def ilike_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best matches of a term, its signs taken as they are; the limit is the feature."""
     firms = table(spark, sf_dir, "companies").where("name is not null").select("company_id", "name").distinct()
-    return firms.withColumn("tier", ledger.relevance(F.col("name"), "ga")).where("tier is not null")
+    return ledger.best_matches(firms, "name", "ga", 20, ["company_id", "name"])
 
 
 @query(
@@ -407,14 +442,17 @@ def distinct_methods_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(used AS BIGINT) AS used, CAST(greatest(0, least(n_chars, 20000 - (used - n_chars))) AS BIGINT) AS kept FROM d""")
 def char_budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("n_chars is not null and site is not null").select("site", "doc_id", "n_chars")
-    return ordered.running_cap(docs, [F.col("site")], [F.col("doc_id")], F.col("n_chars"), 20000).select("doc_id", "used", F.col("kept").cast("long"))
+    return ordered.running_cap(docs, ["site"], "doc_id", F.col("n_chars"), 20000, 4096).select("doc_id", F.col("used").cast("long"), F.col("kept").cast("long"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT company_id, page_id, length(markdown) AS n, row_number() OVER (PARTITION BY company_id ORDER BY page_id) AS i, count(*) OVER (PARTITION BY company_id) AS items FROM pdf_pages WHERE markdown IS NOT NULL),
+r AS (SELECT company_id, page_id, i, items, least(n, 20000, 100000 // items) AS part, 100000 - least(n, 20000, 100000 // items) AS rest FROM p WHERE i = 1
+UNION ALL SELECT p.company_id, p.page_id, p.i, p.items, least(p.n, 20000, r.rest // (p.items - p.i + 1)), r.rest - least(p.n, 20000, r.rest // (p.items - p.i + 1)) FROM r JOIN p ON p.company_id IS NOT DISTINCT FROM r.company_id AND p.i = r.i + 1)
+SELECT page_id, CAST(part AS BIGINT) AS part FROM r""")
 def fair_share_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each step depends on the one before: a fold, no SQL."""
-    pages = table(spark, sf_dir, "pdf_pages").where("markdown is not null").groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct("page_id", F.length("markdown").alias("n")))).alias("xs"))
-    return pages.select("company_id", ordered.fair_share(F.transform("xs", lambda x: x["n"]), 100_000, 20_000).alias("parts"))
+    """How much of each page fits a firm's budget: in turn its size, the cap, or an equal part of what is left."""
+    pages = table(spark, sf_dir, "pdf_pages").where("markdown is not null").select("company_id", "page_id", F.length("markdown").cast("long").alias("n"))
+    return ordered.fair_share_rows(pages, "company_id", "page_id", "n", 100_000, 20_000).select("page_id", "part")
 
 
 @query(r"""WITH m AS (SELECT contact_id, lower(trim(email)) AS e FROM crm_contacts WHERE regexp_matches(email, '^[^@\s]+@[^@\s]+$')),

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, profiles, urls
-from ..operators import matching, ordered, reports
+from ..operators import matching, ordered, reports, signals
 from ..runtime import table
-from .catalog import DOMAIN, HIT_KEY, HOST, PAGE_KEY, PATH, PROFILE_KEY, query
+from .catalog import DOMAIN, HIT_KEY, HOST, MAILS, PAGE_KEY, PATH, PROFILE_KEY, page_mails, query
 
 _MAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 
@@ -24,23 +24,9 @@ def attempt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_by(tries, ["key"], ["failed", "fetched_at", "page_id"], []).select("key", "failed", "page_id")
 
 
-@query(r"""WITH s AS (SELECT page_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS part FROM pdf_pages WHERE markdown IS NOT NULL),
-m AS (SELECT page_id, part, lower(unnest(list_distinct(regexp_extract_all(part, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))) AS email FROM s),
-n AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(markdown, '([A-Z][a-z]+ [A-Z][a-z]+)\s*\n', 1)) AS name FROM pdf_pages WHERE markdown IS NOT NULL)
-SELECT DISTINCT m.page_id, n.name, m.email FROM m JOIN n ON m.page_id = n.page_id WHERE contains(' ' || regexp_replace(m.part, '[^A-Za-z]+', ' ', 'g') || ' ', ' ' || n.name || ' ')""")
-def evidence_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that end a line of a page and addresses: bound where one section of the page holds both."""
-    pages = table(spark, sf_dir, "pdf_pages").where("markdown is not null")
-    parts = pages.select("page_id", F.explode(F.split("markdown", r"\n\s*\n")).alias("part"))
-    plain = F.concat(F.lit(" "), F.regexp_replace("part", "[^A-Za-z]+", " "), F.lit(" "))
-    mails = parts.select("page_id", plain.alias("plain"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("part", F.lit(_MAIL), F.lit(1)), F.lower))).alias("email"))
-    names = pages.select("page_id", F.explode(F.regexp_extract_all("markdown", F.lit(r"([A-Z][a-z]+ [A-Z][a-z]+)\s*\n"), F.lit(1))).alias("name")).distinct()
-    return mails.join(names, "page_id").where(F.contains("plain", F.concat(F.lit(" "), "name", F.lit(" ")))).select("page_id", "name", "email").distinct()
-
-
 @query(
     r"""WITH l AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM pdf_pages WHERE markdown IS NOT NULL),
-t AS (SELECT page_id, n, line FROM l WHERE regexp_matches(line, '(?i)\bTel\.? ?[+(0-9]')), e AS (SELECT page_id, n AS m, lower(regexp_extract(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS email FROM l WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))
+t AS (SELECT page_id, n, line FROM l WHERE regexp_matches(line, '(?i)\bTel\.? ?[+(0-9]')), e AS (SELECT page_id, n AS m, lower(unnest(list_distinct(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))) AS email FROM l)
 SELECT t.page_id, CAST(t.n AS BIGINT) AS line_no, e.email, CAST(abs(t.n - e.m) AS BIGINT) AS distance FROM t JOIN e ON t.page_id = e.page_id AND abs(t.n - e.m) <= 3
 QUALIFY row_number() OVER (PARTITION BY t.page_id, t.n ORDER BY abs(t.n - e.m), e.m, e.email) = 1"""
 )
@@ -48,19 +34,17 @@ def nearest_email_to_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The address nearest to each line with a telephone number, within three lines of the same page."""
     lines = table(spark, sf_dir, "pdf_pages").where("markdown is not null").select("page_id", F.posexplode(F.split("markdown", "\n")).alias("pos", "line")).withColumn("n", (F.col("pos") + 1).cast("long"))
     phones = lines.where(F.col("line").rlike(r"(?i)\bTel\.? ?[+(0-9]")).select("page_id", "n")
-    mails = lines.where(F.col("line").rlike(_MAIL)).select("page_id", F.col("n").alias("m"), F.lower(F.regexp_extract("line", _MAIL, 1)).alias("email"))
+    mails = lines.where(F.contains("line", F.lit("@"))).select("page_id", F.col("n").alias("m"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(_MAIL), F.lit(1)))).alias("email")).withColumn("email", F.lower("email"))
     return matching.nearest(phones, mails, ["page_id"], "n", "m", 3, "email").select("page_id", F.col("n").alias("line_no"), "email", "distance")
 
 
-@query(r"""WITH m AS (SELECT DISTINCT company_id, lower(unnest(regexp_extract_all(markdown, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS value FROM pdf_pages WHERE markdown IS NOT NULL AND company_id IS NOT NULL),
-c AS (SELECT DISTINCT company_id, lower(trim(email)) AS value FROM crm_contacts WHERE email IS NOT NULL), x AS (SELECT DISTINCT lower(trim(v)) AS value FROM (SELECT unnest(q.c."values") AS v FROM (SELECT unnest(contact_conflicts) AS c FROM pdf_pages) q))
-SELECT m.company_id, m.value FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.company_id = m.company_id AND c.value = m.value) AND NOT EXISTS (SELECT 1 FROM x WHERE x.value = m.value)""")
+@query("WITH " + MAILS + r""", c AS (SELECT DISTINCT company_id, lower(trim(email)) AS value FROM crm_contacts WHERE email IS NOT NULL), x AS (SELECT DISTINCT lower(trim(v)) AS value FROM (SELECT unnest(q.c."values") AS v FROM (SELECT unnest(contact_conflicts) AS c FROM pdf_pages) q))
+SELECT DISTINCT m.company_id, m.value FROM mail m WHERE m.company_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.company_id = m.company_id AND c.value = m.value) AND NOT EXISTS (SELECT 1 FROM x WHERE x.value = m.value)""")
 def unassigned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed addresses less those the firm's contacts have, less conflicting ones: two anti joins."""
-    pages = table(spark, sf_dir, "pdf_pages")
-    seen = pages.where("markdown is not null and company_id is not null").select("company_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("markdown", F.lit(_MAIL), F.lit(1)), F.lower))).alias("value")).distinct()
+    seen = page_mails(spark, sf_dir).where("company_id is not null").select("company_id", "value").distinct()
     known = table(spark, sf_dir, "crm_contacts").where("email is not null").select("company_id", F.lower(F.trim("email")).alias("value"))
-    double = pages.select(F.explode("contact_conflicts").alias("c")).select(F.explode("c.values").alias("value")).select(F.lower(F.trim("value")).alias("value"))
+    double = signals.conflicts(table(spark, sf_dir, "pdf_pages"), "url", "contact_conflicts").select("value")
     return seen.join(known, ["company_id", "value"], "left_anti").join(double, "value", "left_anti").select("company_id", "value")
 
 
@@ -111,13 +95,22 @@ def profile_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("url", profiles.stable_id(F.col("url")).alias("stable_id")).where("stable_id <> ''")
 
 
-@query()
+#: Profile addresses beside the tables', whose slugs are of one word.
+_SLUGS = ["https://www.linkedin.com/in/pat-van-sample-1a2b", "https://linkedin.com/in/sales-manager", "https://linkedin.com/in/kim_other/"]
+_QUOTED = lambda ws: ", ".join(f"'{w}'" for w in ws)
+
+
+@query(
+    "WITH u AS (SELECT DISTINCT url FROM search_hits WHERE url IS NOT NULL UNION SELECT DISTINCT linkedin FROM crm_contacts WHERE linkedin IS NOT NULL UNION SELECT unnest([" + _QUOTED(_SLUGS) + "])), p AS (SELECT url, list_filter(" + _SLUG + ", lambda p: p <> '') AS parts FROM u),"
+    r" w AS (SELECT url, list_filter(regexp_split_to_array(parts[2], '[-_]+'), lambda w: w <> '') AS w FROM p WHERE len(parts) = 2 AND parts[1] = 'in'), n AS (SELECT url, len(w) AS k, CASE WHEN regexp_matches(w[-1], '\d') THEN w[:-2] ELSE w END AS w FROM w)"
+    r" SELECT url, CASE WHEN k >= 2 AND len(w) BETWEEN 2 AND 6 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\p{L}{2,}$') OR x IN (" + _QUOTED(profiles.GENERIC) + "))) = 0"
+    " THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN (" + _QUOTED(profiles.PARTICLES) + ") THEN x ELSE upper(x[1]) || substr(x, 2) END), ' ') ELSE '' END AS name FROM n"
+)
 def profile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names spelt in profile addresses; rules on words, tested on literal rows."""
-    hits = table(spark, sf_dir, "search_hits").where("url is not null").select("url").distinct()
-    extra = spark.createDataFrame([("https://www.linkedin.com/in/pat-van-sample-1a2b",), ("https://linkedin.com/in/sales-manager",), ("https://linkedin.com/in/kim_other/",)], "url string")
-    named = hits.unionByName(extra).select("url", profiles.name_from_profile(F.col("url")).alias("name"))
-    return named.where("name <> ''")
+    """The name spelt in each person's profile address, empty where there is none."""
+    found = table(spark, sf_dir, "search_hits").where("url is not null").select("url").union(table(spark, sf_dir, "crm_contacts").where("linkedin is not null").select("linkedin")).distinct()
+    all_ = found.union(spark.createDataFrame([(u,) for u in _SLUGS], "url string")).distinct()
+    return all_.where(F.lower(urls.path(F.col("url"))).rlike("^/+in/+[^/]+/*$")).select("url", profiles.name_from_profile(F.col("url")).alias("name"))
 
 
 @query("SELECT company_id, country, CASE WHEN regexp_matches(trim(country), '^[A-Za-z]{2}$') THEN upper(trim(country)) WHEN lower(trim(country)) IN ('spain', '西班牙') THEN 'ES' WHEN lower(trim(country)) IN ('japan', '日本') THEN 'JP' WHEN lower(trim(country)) IN ('russia', 'russian federation', '俄罗斯') THEN 'RU' END AS region FROM (SELECT DISTINCT company_id, country FROM companies WHERE country IS NOT NULL)")
@@ -126,43 +119,42 @@ def phone_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firms.select("company_id", "country", profiles.region(F.col("country")).alias("region"))
 
 
-#: Literal rows, as the test tables' addresses aren't made of their contacts' names.
-_MADE = [(-1, -1, "Pat Sample", "pat.sample@a.test"), (-2, -1, "Kim de Other", "kother@b.test"), (-3, -1, "Lee Third", ""), (-4, -1, "Ann Fourth", None), (-5, -2, "Bo", "bo@c.test"), (-6, -2, "Jo Sixth", "jo@c.test"), (-7, -2, "Al Seventh", None)]
-_MADE_SQL = ", ".join(f"({i}, {c}, '{n}', {'NULL' if e is None else repr(e)})" for i, c, n, e in _MADE)
+_MAILED = (
+    r"m AS (SELECT company_id, contact_id, lower(trim(email)) AS email, split_part(lower(trim(email)), '@', 2) AS domain, regexp_replace(split_part(lower(trim(email)), '@', 1), '\+.*$', '') AS local FROM crm_contacts WHERE email LIKE '%@%'),"
+    r" s AS (SELECT *, CASE WHEN regexp_matches(local, '^[a-z]\.[a-z]{2,}$') THEN 'f.last' WHEN regexp_matches(local, '^[a-z]{2,}\.[a-z]{2,}$') THEN 'first.last' WHEN regexp_matches(local, '^[a-z]{2,}_[a-z]{2,}$') THEN 'first_last' END AS pattern FROM m)"
+)
 
 
-@query(r"""WITH c AS (SELECT contact_id, company_id, name, email FROM crm_contacts UNION ALL SELECT * FROM (VALUES """ + _MADE_SQL + r""") v(contact_id, company_id, name, email)),
-p AS (SELECT contact_id, company_id, lower(trim(email)) AS email, string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z]+', ' ', 'g')), ' ') AS w FROM c WHERE name IS NOT NULL AND company_id IS NOT NULL),
-q AS (SELECT *, w[1] AS f, w[-1] AS l, split_part(email, '@', 1) AS local, split_part(email, '@', 2) AS domain FROM p WHERE len(w) >= 2),
-r AS (SELECT contact_id, company_id, domain, CASE WHEN local = f || '.' || l THEN 'first.last' WHEN local = f THEN 'first' WHEN local = f[1] || l THEN 'flast' WHEN local = f[1] || '.' || l THEN 'f.last' WHEN local = f || '_' || l THEN 'first_last' WHEN local = f || l THEN 'firstlast' END AS pattern FROM q WHERE email LIKE '%@%')
-SELECT domain, pattern, min(contact_id) AS basis, count(*) AS n FROM r WHERE pattern IS NOT NULL GROUP BY domain, pattern""")
+@query("WITH " + _MAILED + " SELECT domain, pattern, min(contact_id) AS basis, count(*) AS n FROM s WHERE pattern IS NOT NULL GROUP BY domain, pattern")
 def pattern_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first contact whose address shows how a domain makes addresses of names."""
-    return _patterns(spark, sf_dir).where("pattern <> ''").groupBy("domain", "pattern").agg(F.min("contact_id").alias("basis"), F.count("*").alias("n"))
+    return _shaped(spark, sf_dir).where("pattern <> ''").groupBy("domain", "pattern").agg(F.min("contact_id").alias("basis"), F.count("*").alias("n"))
 
 
-def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.names import normalised_name
-
-    w = F.split(F.trim(F.regexp_replace(normalised_name(F.col("name")), "[^a-z]+", " ")), " ")
-    crm = table(spark, sf_dir, "crm_contacts").select("contact_id", "company_id", "name", "email")
-    crm = crm.unionByName(spark.createDataFrame(_MADE, "contact_id long, company_id long, name string, email string"))
-    people = crm.where("name is not null and company_id is not null").select("contact_id", "company_id", F.lower(F.trim("email")).alias("email"), w.alias("w")).where(F.size("w") >= 2)
-    first, last = F.get("w", 0), F.element_at("w", -1)
-    named = people.select("contact_id", "company_id", "email", first.alias("first"), last.alias("last"), F.substring_index("email", "@", 1).alias("local"), F.get(F.split("email", "@"), 1).alias("domain"))
-    return named.withColumn("pattern", F.when(F.contains("email", F.lit("@")), profiles.pattern_of(F.col("local"), F.col("first"), F.col("last"))).otherwise(""))
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    email = F.lower(F.trim("email"))
+    mailed = table(spark, sf_dir, "crm_contacts").where(F.contains("email", F.lit("@")))
+    return mailed.select("company_id", "contact_id", email.alias("email"), F.get(F.split(email, "@"), 1).alias("domain"), profiles.shape_of(F.substring_index(email, "@", 1)).alias("pattern"))
 
 
-@query()
+@query(
+    "WITH " + _MAILED + ", b AS (SELECT company_id, domain, pattern, min(contact_id) AS basis FROM s WHERE pattern IS NOT NULL GROUP BY 1, 2, 3),"
+    " o AS (SELECT contact_id, company_id, string_split(trim(regexp_replace(replace(lower(strip_accents(name)), 'ß', 'ss'), '[^a-z]+', ' ', 'g')), ' ') AS w FROM crm_contacts WHERE trim(name) <> '' AND coalesce(trim(email), '') = ''),"
+    " x AS (SELECT o.contact_id, b.pattern, b.basis, CASE b.pattern WHEN 'f.last' THEN w[1][1] || '.' || w[-1] WHEN 'first.last' THEN w[1] || '.' || w[-1] ELSE w[1] || '_' || w[-1] END || '@' || b.domain AS email FROM o JOIN b ON o.company_id = b.company_id WHERE len(w) >= 2)"
+    " SELECT contact_id, email, pattern, 'inferred' AS status FROM x WHERE email NOT IN (SELECT email FROM m) QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY basis, pattern, email) <= 3"
+)
 def inferred_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses a firm's known pattern would give to contacts without one: at most three, never one that is known."""
-    people = _patterns(spark, sf_dir)
-    basis = people.where("pattern <> ''").groupBy("company_id", "domain", "pattern").agg(F.min("contact_id").alias("basis"))
-    open_ = people.where("email is null or email = ''").select("contact_id", "company_id", "first", "last")
-    made = open_.join(basis, "company_id").withColumn("email", F.concat(profiles.rendered(F.col("pattern"), F.col("first"), F.col("last")), F.lit("@"), F.col("domain")))
-    fresh = made.join(people.select("email").where("email is not null"), "email", "left_anti")
-    place = F.row_number().over(Window.partitionBy("contact_id").orderBy("basis", "pattern"))
-    return fresh.withColumn("n", place).where("n <= 3").select("contact_id", "email", "pattern", F.lit("inferred").alias("status"))
+    """Addresses a firm's known patterns would give to contacts without one: at most three, never one that is known."""
+    from ..functions.names import normalised_name
+
+    shaped = _shaped(spark, sf_dir)
+    basis = shaped.where("pattern <> ''").groupBy("company_id", "domain", "pattern").agg(F.min("contact_id").alias("basis"))
+    w = F.split(F.trim(F.regexp_replace(normalised_name(F.col("name")), "[^a-z]+", " ")), " ")
+    open_ = table(spark, sf_dir, "crm_contacts").where("trim(name) <> '' and coalesce(trim(email), '') = ''").select("contact_id", "company_id", w.alias("w")).where(F.size("w") >= 2)
+    made = open_.join(basis, "company_id").withColumn("email", F.concat(profiles.rendered(F.col("pattern"), F.get("w", 0), F.element_at("w", -1)), F.lit("@"), F.col("domain")))
+    place = F.row_number().over(Window.partitionBy("contact_id").orderBy("basis", "pattern", "email"))
+    fresh = made.join(shaped.select("email"), "email", "left_anti").withColumn("n", place).where("n <= 3")
+    return fresh.select("contact_id", "email", "pattern", F.lit("inferred").alias("status"))
 
 
 @query(

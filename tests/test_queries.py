@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from evidencia.plans import catalog, evidence  # noqa: F401
+from evidencia.plans import catalog, claims, evidence  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,6 +20,8 @@ def tables():
 
 
 def plain(v):
+    if isinstance(v, dict):
+        return tuple(map(plain, v.values()))
     return round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
@@ -35,12 +37,11 @@ def test_query_matches_sql(spark, tables, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 def test_no_nested_loops(spark):
-    for name in ("mention_word_bounded", "crm_dedup_matched_by", "nearest_neighbor_event", "engine_attribution_exclusive"):
+    for name in ("mention_word_bounded", "crm_dedup_matched_by", "nearest_neighbor_event", "engine_attribution_exclusive", "claim_verdicts", "crm_new_channels", "naming_sources"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
