@@ -592,13 +592,13 @@ def link_names(df: DataFrame, key: str = "dup_id", scope: str = "company_id", na
     placed = known.join(bounded_broadcast(sizes, 100_000, "large scopes"), F.col("scope") == F.col("__s"), "left").drop("__s")
     # every token joins, common ones too: two forms may share no other that is within the bound
     small = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit("").alias("shard"), F.lit("both").alias("role")))
-    place = F.explode(F.when(F.col("__large"), _shard_udf(matcher)(F.col("form"), F.col("counts"))).otherwise(small)).alias("p")
+    place = F.explode(F.when(F.col("__large"), _shard_udf(matcher)(F.when(F.col("__large"), F.col("form")), F.col("counts"))).otherwise(small)).alias("p")
     sharded = placed.select("scope", "id", "form", "counts", place).select("scope", "p.shard", "p.role", "p.token", "id", "form", "counts")
     # a shard with very many names is split by what else they hold
     full = cut(sharded.where("shard <> ''").groupBy("scope", "shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("scope", "shard", F.lit(True).alias("__hot")))
     marked = sharded.join(bounded_broadcast(full, 100_000, "hot shards"), ["scope", "shard"], "left")
     alone = F.array(F.struct(F.lit("").alias("key"), F.lit("both").alias("role")))
-    second = F.explode(F.when(F.col("__hot"), _second_udf(matcher)(F.col("form"), F.when(F.col("__hot"), F.col("token")), F.col("counts"))).otherwise(alone)).alias("x")
+    second = F.explode(F.when(F.col("__hot"), _second_udf(matcher)(F.when(F.col("__hot"), F.col("form")), F.col("token"), F.col("counts"))).otherwise(alone)).alias("x")
     apart = marked.select("scope", "shard", "role", "token", "id", "form", "counts", second)
     sharded = apart.select("scope", F.when(F.col("x.key") == "", F.col("shard")).otherwise(F.concat_ws(" ", "shard", "x.key")).alias("shard"), "role", F.col("x.role").alias("role2"), "token", "id", "form", "counts")
     # a fixed number of tasks: these rows are few bytes but much work, and AQE would join them into a few tasks
@@ -627,7 +627,9 @@ def _shard_udf(matcher: Matcher):
     """All (shard, role, token) of a form in a large scope: of its words and of the keys they share beyond the bound."""
     kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("token", "shard", "role")]))
 
-    def places(form: str, counts) -> list[dict]:
+    def places(form: str | None, counts) -> list[dict]:
+        if form is None:
+            return []
         out, n = {}, dict(zip(words_of(form), counts, strict=True))
         for word, abbreviated in parts_of(form):
             if len(word) > 1:
@@ -641,8 +643,8 @@ def _shard_udf(matcher: Matcher):
 def _second_udf(matcher: Matcher):
     kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("key", "role")]))
 
-    def keys(form: str, token: str | None, counts) -> list[dict]:
-        return [{"key": k, "role": r} for k, r in second_keys(form, token, dict(zip(words_of(form), counts, strict=True)), matcher)] if token else []
+    def keys(form: str | None, token: str, counts) -> list[dict]:
+        return [{"key": k, "role": r} for k, r in second_keys(form, token, dict(zip(words_of(form), counts, strict=True)), matcher)] if form else []
 
     return F.pandas_udf(lambda f, t, c: pd.Series([keys(*x) for x in zip(f, t, c, strict=True)], dtype=object), kind)
 
