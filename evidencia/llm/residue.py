@@ -88,12 +88,13 @@ def measured(us: Column) -> Column:
 
 
 def identity(unit: Column) -> Column:
-    """What a unit says, apart from capitalised words, figures and signs."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(unit, r"\p{Lu}[\p{L}]*", "X"), r"[^\p{L}]+", "")))
+    """What a unit says, apart from capitalised words, figures and signs; all of it where no word in small letters is left."""
+    small = F.regexp_replace(unit, r"[^\p{L}]+|\p{Lu}\p{L}*", "")
+    return F.when(F.length(small) >= 4, F.xxhash64(small)).otherwise(F.xxhash64(F.lit(1), F.lower(unit)))
 
 
-def kinds(us: Column) -> Column:
-    """Measured units with kind residue, label (too short to say anything) or text, words and identity."""
+def kinds(us: Column, identities: bool = True) -> Column:
+    """Measured units with kind residue, label (too short to say anything) or text, words and, if wanted, identity."""
 
     def one(u: Column) -> Column:
         kind = (
@@ -103,7 +104,7 @@ def kinds(us: Column) -> Column:
             .when(u["words"] <= 3, "label")
             .otherwise("text")
         )
-        return F.struct(kind.alias("kind"), u["words"].alias("words"), identity(u["text"]).alias("id"))
+        return F.struct(kind.alias("kind"), u["words"].alias("words"), *([identity(u["text"]).alias("id")] if identities else []))
 
     return F.transform(us, one)
 
@@ -121,7 +122,7 @@ def boilerplate_lines(df: DataFrame, key: str, text: str, url: str, support: Sup
     """
     page = df.select(col(df, key).alias("key"), site_of(col(df, url)).alias("site"), F.xxhash64(F.trim(col(df, url))).alias("u"), col(df, text).alias("text")).where("text is not null")
     # what is written with a capital, a figure or a sign of an address names a firm, a person or a date
-    masked = F.split(F.lower(F.regexp_replace(F.regexp_replace("text", r"\S*[\p{Lu}@\d]\S*", " "), r"[^\p{L}\n]+", "")), "\n", -1)
+    masked = F.split(F.regexp_replace("text", r"(?<!\S)[^\s\p{Lu}@\d]*+[\p{Lu}@\d]\S*+|[^\p{L}\n]+", ""), "\n", -1)
     each = page.select("key", "site", "u", F.posexplode(F.arrays_zip(letters_by_line(F.col("text")).alias("letters"), masked.alias("masked"))).alias("n", "x"))
     each = identified(each.select("key", "site", "u", (F.col("n") + 1).alias("n"), "x.letters", "x.masked"), support)
     # across hosts a line is the same if all its letters are, or those of its words in small letters
@@ -157,7 +158,7 @@ def page_units(df: DataFrame, key: str, text: str, url: str, title: str, error:
     page = page.withColumn("us", F.coalesce(units(F.col("body")), F.array().cast("array<string>")))
     # a page's first long units mostly say enough; only where they don't are all its units tested
     first = F.slice(F.filter("us", lambda u: F.length(u) >= LONG // 2), 1, 5)
-    page = page.withColumn("own", F.when(said(kinds(measured(first))) <= low, kinds(measured(F.col("us")))))
+    page = page.withColumn("own", F.when(said(kinds(measured(first), False)) <= low, kinds(measured(F.col("us")))))
     page = page.withColumn("thin", F.coalesce(said(F.col("own")) <= low, F.lit(False)))
     dropped_units = F.filter(kinds(measured(dropped)), lambda u: u["kind"] == "residue")  # a message that a whole site repeats is still a message
     page = page.withColumn("units", F.when(F.col("thin"), F.concat("own", F.when(F.col("gone").isNull(), F.array()).otherwise(dropped_units))))
