@@ -69,8 +69,8 @@ def thresholds(records: DataFrame, wanted: DataFrame, mix: Mix) -> DataFrame:
         shift = 62 - mix.bits * (r + 1)
         width = 1 << shift
         inside = pool.join(near(state), ["mix_name", "source"]).where((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(1 << (shift + mix.bits))))
-        if r:
-            # from the second round on only the records of the boundary buckets are carried
+        if r == 1:
+            # from the second round on only the records of the first boundary buckets are carried: few, so once is enough
             inside = cut(inside)
             pool = inside.select("mix_name", "source", "hash", "tokens")
         histogram = inside.groupBy("mix_name", "source", "low", "rest", F.shiftright(F.col("hash") - F.col("low"), shift).alias("bucket")).agg(F.sum("tokens").alias("t"))
