@@ -1,8 +1,9 @@
 """Problem 2: personal information inside free text, found by a skip-chain conditional random field.
 
 Patterns and capitals propose what an address, a number or a name may be; each proposal is a node of its document's
-field. Potentials of nodes and strengths of edges are learnt together by pseudo-likelihood on silver labels. Chain
-edges link words that stand together; skip edges link equal and nearly equal words, equal numbers, and a word with the
+field. Potentials of nodes and strengths of edges are learnt together by pseudo-likelihood on silver labels, over all
+pages: each page is read once, its proposals are kept as arrays, some thousand pages in a row; each row's potentials are
+learnt apart, then averaged by how many nodes speak for each. Chain edges link words that stand together; skip edges link equal and nearly equal words, equal numbers, and a word with the
 electronic addresses that hold it. Loopy belief propagation makes labels consistent over the document, so that a
 surname that a distant place names plainly is found where nothing else tells it from another word.
 """
@@ -10,12 +11,14 @@ surname that a distant place names plainly is found where nothing else tells it
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col, hash_sample
+from ..runtime import col, cut
 from .names import GENERATIONS, NICKNAMES, distance, plain
 
 # How postal addresses are written. W: a capitalised word, T: a town, S: what parts are separated by.
@@ -94,15 +97,18 @@ RUN = r"[^\W\d_]+(?:['’\u0300-\u036f]+[^\W\d_]*)*"
 WORD = re.compile(rf"((?:{UPPER}\.|(?:{RUN}(?:-\n?(?=[^\W\d_]))?)+|\d+|\S))")
 #: Kinds of edges. chain: words that stand together; the others skip: equal words, words an edit apart, a word and an address that holds it, equal figures.
 EDGES = ("chain", "skip", "near", "mail", "digits")
+KINDS = ("name", "email", "address", "phone", "id_number")
+#: Parts of a node, at most.
+WIDTH = 4
+NONE = [0] * len(EDGES)
+EDGE = {kind: i for i, kind in enumerate(EDGES)}
 
 
 @dataclass
 class Settings:
-    """sample: pages the node potentials are fitted on, at most; chars: of each of these, at most."""
+    """chunk: characters of texts that one row of proposals holds, about; epochs: passes of the fit over each of these."""
 
-    sample: int = 1000
-    chars: int = 6000
-    names: int = 20_000
+    chunk: int = 4_000_000
     dims: int = 1 << 17
     epochs: int = 4
     rounds: int = 20
@@ -115,12 +121,8 @@ def bare(word: str) -> str:
     return plain(word.replace("-\n", "-").replace("\n", "")).rstrip(".")
 
 
-@lru_cache(maxsize=300_000)
 def _hash(feature: str, dims: int) -> int:
-    h = 2166136261
-    for b in feature.encode("utf-8", "replace"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % dims
+    return crc32(feature.encode("utf-8", "replace")) % dims
 
 
 @dataclass(slots=True)
@@ -138,7 +140,7 @@ class Node:
 
 
 def digits(text: str) -> int:
-    return sum(c.isdigit() for c in text)
+    return sum(map(str.isdigit, text))
 
 
 # Cheap marks near which the costly patterns are tried; none of these can match without one.
@@ -203,6 +205,7 @@ def fixed_nodes(text: str) -> list[Node]:
     return sorted(out, key=lambda n: n.start)
 
 
+BROKEN = regex.compile(r"(?<=\p{L})-\n(?=\p{Ll})")
 DATE = regex.compile(r".{0,2}\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 BREAK = regex.compile(r"[;!?\n]\s*\n|(?<!\b(?:no|n|nr|núm|n[or]))\.\s", regex.I)
 
@@ -214,7 +217,7 @@ def number_nodes(text: str, taken: list[Node]) -> list[Node]:
     for m in CODED.finditer(text):
         if m.end() - m.start() < 5 or digits(m.group()) < 5:
             continue
-        before = regex.sub(r"(?<=\p{L})-\n(?=\p{Ll})", "", text[max(0, m.start() - 90) : m.start()])
+        before = BROKEN.sub("", text[max(0, m.start() - 90) : m.start()])
         word = None
         for word in ID_WORD.finditer(before):  # noqa: B007 - the last one counts
             pass
@@ -234,10 +237,10 @@ def number_nodes(text: str, taken: list[Node]) -> list[Node]:
         for m in PHONE.finditer(text, lo, min(len(text), hi)):
             i = next(i for i in range(len(PHONES)) if m.group(f"f{i}"))
             value, a = m.group(), m.start()
-            for cut in (x.start() for x in regex.finditer(r"\n", value)):  # figures of the next line or paragraph
+            for end in (i for i, c in enumerate(value) if c == "\n"):  # figures of the next line or paragraph
                 whole = 10 if value[0] == "+" else 9  # a number of fewer figures goes on behind a broken line
-                if digits(value[:cut]) >= whole and not m.group("ext") or regex.match(r"\n\s*\n", value[cut:]):
-                    value = value[:cut].rstrip()
+                if digits(value[:end]) >= whole and not m.group("ext") or regex.match(r"\n\s*\n", value[end:]):
+                    value = value[:end].rstrip()
                     break
             n = digits(value) - digits(m.group("ext") or "")
             if not 7 <= n <= 15 or not free(a, a + len(value)):
@@ -264,9 +267,9 @@ class Words:
             while i < len(self.word) and self.start[i] < n.end:
                 self.inside.add(i)
                 i += 1
-        capital = [i for i, w in enumerate(self.word) if len(w) > 2 and w[0].isupper()]
-        self.named = {i for i in capital if i not in self.inside and bare(self.word[i]) not in STOP}
-        self.given = {i for i in capital if bare(self.word[i]) in givens}
+        capital = [(i, bare(w)) for i, w in enumerate(self.word) if len(w) > 2 and w[0].isupper()]
+        self.named = {i for i, w in capital if i not in self.inside and w not in STOP}
+        self.given = {i for i, w in capital if w in givens}
 
     def bare(self, i: int) -> str:
         return bare(self.word[i])
@@ -369,7 +372,9 @@ def spelt(part: tuple) -> list[str]:
 
 
 def hidden(part: tuple) -> tuple:
-    """A part without what marks a name or a number plainly."""
+    """A part without what marks a name or a number plainly; over all pages a name's word comes again, so that it would mark it too."""
+    if part[0] == "word":
+        return ("word", "")
     if part[0] == "place":
         return (*part[:3], False, False, False, False, False, False, *part[9:])
     return (*part[:2], False, *part[3:]) if part[0] == "number" else part
@@ -394,58 +399,100 @@ class Field:
         named = [Node(words.start[i], words.stop[i], words.bare(i), "name", words.parts(i), token=i) for i in sorted(words.named)]
         return named + taken, words
 
-    def fit(self, texts: list[str]) -> Field:
-        """Potentials and edges by pseudo-likelihood: each node's label given its features and its neighbours' labels.
+    def _silver(self, nodes: list[Node], words: Words, edges: list[tuple[int, int, str]]) -> list[list[int]]:
+        """Sets the silver labels of a text's nodes; gives each node's labelled neighbours, by kind of edge, those of label 0 as -1.
 
         A word that a plain place of its document shows to be a name, but its own place doesn't, has no silver label:
-        it is what the field shall decide. So that the edges are learnt from such nodes, a node with labelled
-        neighbours serves a second time with its own plain marks hidden. An edge may be of no strength, not negative.
+        it is what the field shall decide.
         """
-        s = self.s
-        rows, labels, around = [], [], []
+        for n in nodes:
+            if n.token >= 0:  # without a given name, a title or an initial beside it no place is plain
+                n.silver = any(n.parts[-1][2:8]) and words.silver(n.token)
+        plain_names = {n.key for n in nodes if n.token >= 0 and n.silver}
+        for n in nodes:
+            if n.token >= 0 and not n.silver and n.key in plain_names and not (n.token + 1 < len(words.word) and words.bare(n.token + 1) in TRADE):
+                n.silver = None
+        near = [NONE] * len(nodes)
+        for a, b, kind in edges:
+            for i, j in ((a, b), (b, a)):
+                if nodes[j].silver is not None:
+                    if near[i] is NONE:
+                        near[i] = [0] * len(EDGES)
+                    near[i][EDGE[kind]] += 1 if nodes[j].silver else -1
+        return near
+
+    def propose(self, texts: list[str | None]) -> tuple[dict, dict, dict]:
+        """(found, parts, silver): the proposals of some texts, their different parts with these' features, and what the fit needs.
+
+        So that the edges are learnt from nodes which they must decide, a node with labelled neighbours serves a second
+        time with its word and its own plain marks hidden.
+        """
+        dims, number, forms, bare_form = self.s.dims, {(): 0}, {}, {}
+        features: list[int] = []
+        sizes, of = [0], []
+
+        def form(parts: tuple) -> int:
+            """The number of all parts of a node together."""
+            out = [0] * WIDTH
+            for c, part in enumerate(parts):
+                got = number.get(part)
+                if got is None:
+                    got = number[part] = len(sizes)
+                    own = {_hash(f, dims) for f in spelt(part)}
+                    features.extend(own)
+                    sizes.append(len(own))
+                out[c] = got
+            of.extend(out)
+            forms[parts] = len(forms)
+            return forms[parts]
+
+        per, at, linked, links = [], [], [], []
+        rows: dict[tuple, int] = {}
         for text in texts:
-            nodes, words = self._nodes(text)
-            for n in nodes:
-                if n.token >= 0:
-                    n.silver = words.silver(n.token)
-            plain_names = {n.key for n in nodes if n.token >= 0 and n.silver}
-            for n in nodes:
-                if n.token >= 0 and not n.silver and n.key in plain_names and not (n.token + 1 < len(words.word) and words.bare(n.token + 1) in TRADE):
-                    n.silver = None
-            near = np.zeros((len(nodes), len(EDGES)), np.float32)
-            for a, b, kind in self._edges(nodes, words, all_=True):
-                for i, j in ((a, b), (b, a)):
-                    if nodes[j].silver is not None:
-                        near[i, EDGES.index(kind)] += 1 if nodes[j].silver else -1
-            for k, n in enumerate(nodes):
+            nodes, words = self._nodes(text) if text else ([], None)
+            edges = self._edges(nodes, words, all_=True) if nodes else []
+            for n, beside in zip(nodes, self._silver(nodes, words, edges), strict=True):
+                own = forms.get(n.parts)
+                if own is None:
+                    own = form(n.parts)
+                at += (n.start, n.end, KINDS.index(n.kind), n.token, own)
                 if n.silver is not None:
-                    for parts in (n.parts, tuple(map(hidden, n.parts))) if near[k].any() else (n.parts,):
-                        rows.append(np.unique(np.array([_hash(f, s.dims) for part in parts for f in spelt(part)], np.int32)))
-                        labels.append(bool(n.silver))
-                        around.append(near[k])
-        if len(set(labels)) < 2:
-            return self
-        order = np.random.default_rng(7).permutation(len(rows))
-        total, total_j = np.zeros(s.dims, np.float32), np.zeros(len(EDGES), np.float32)
-        w, g2 = self.w, np.full(s.dims, 1e-2, np.float32)
-        j, j2 = np.zeros(len(EDGES), np.float32), np.full(len(EDGES), 1e-2, np.float32)
-        some = [bool(e.any()) for e in around]
-        for _ in range(s.epochs):
-            for k in order:
-                x = rows[k]
-                z = float(w[x].sum()) + (float(j @ around[k]) if some[k] else 0.0)
-                step = np.float32(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - labels[k])
-                if abs(step) > 1e-3:
-                    g2[x] += step * step
-                    w[x] -= 0.3 * step / np.sqrt(g2[x])
-                    if some[k]:
-                        g = step * around[k]
-                        j2 += g * g
-                        j = np.maximum(j - 0.3 * g / np.sqrt(j2), 0)
-            total += w
-            total_j += j
-        self.w = total / s.epochs
-        s.strength = s.strength | {e: float(v) for e, v, seen in zip(EDGES, total_j / s.epochs, np.abs(around).sum(0), strict=True) if seen}
+                    row = (own, n.silver, *beside)
+                    rows[row] = rows.get(row, 0) + 1
+                    if beside is not NONE and any(beside):
+                        less = bare_form.get(own)
+                        if less is None:
+                            parts = tuple(map(hidden, n.parts))
+                            less = bare_form[own] = forms[parts] if parts in forms else form(parts)
+                        row = (less, n.silver, *beside)
+                        rows[row] = rows.get(row, 0) + 1
+            for a, b, kind in edges:
+                links += (a, b, EDGE[kind])
+            per.append(len(nodes))
+            linked.append(len(edges))
+        whole = lambda x, width: np.array(x, np.int32).reshape(-1, width)
+        found = {"per": per, "at": whole(at, 5), "linked": linked, "links": whole(links, 3)}
+        parts = {"features": np.array(features, np.int32), "sizes": np.array(sizes, np.int32), "forms": whole(of, WIDTH)}
+        row = whole(list(rows), 2 + len(EDGES))
+        return found, parts, {"form": row[:, 0], "label": row[:, 1] > 0, "around": row[:, 2:].astype(np.int16), "times": np.array(list(rows.values()), np.int32)}
+
+    def fit(self, texts: list[str]) -> Field:
+        """Potentials and edges from texts at hand."""
+        _, parts, silver = self.propose(texts)
+        return self._take(learnt(parts, silver, self.s.dims, self.s.epochs))
+
+    def fit_proposed(self, proposed: DataFrame) -> Field:
+        """Potentials and edges from all rows of proposals(): each row's are learnt apart, then averaged by how many nodes speak for each."""
+        dims, epochs, slots = self.s.dims, self.s.epochs, proposed.sparkSession.sparkContext.defaultParallelism
+        rows = proposed.select("parts", "silver").rdd.coalesce(slots)
+        own = lambda chunks: iter([sum((learnt(unpacked(c[0]), unpacked(c[1]), dims, epochs) for c in chunks), np.zeros((2, dims + len(EDGES))))])
+        return self._take(rows.mapPartitions(own).treeReduce(np.add)) if rows.getNumPartitions() else self
+
+    def _take(self, sums: np.ndarray) -> Field:
+        s = self.s
+        mean = sums[0] / np.maximum(sums[1], 1)
+        self.w, self._weights = mean[: s.dims].astype(np.float32), {}
+        s.strength = s.strength | {e: float(v) for e, v, seen in zip(EDGES, mean[s.dims :], sums[1, s.dims :], strict=True) if seen}
         return self
 
     def _score(self, nodes: list[Node]) -> None:
@@ -563,20 +610,93 @@ class Field:
         """(start, end, type) of all personal information in a text, in order and disjoint; linked: with the field's edges."""
         nodes, words = self._nodes(text)
         self._score(nodes)
+        return self._places(nodes, self._edges(nodes, words) if linked else [], lambda: words)
+
+    def _places(self, nodes: list[Node], edges: list[tuple[int, int, str]], words: Callable[[], Words]) -> list[tuple[int, int, str]]:
         found: list[tuple[int, int, str]] = []
         named: set[int] = set()
-        for n, yes in zip(nodes, self.decide(nodes, self._edges(nodes, words) if linked else []), strict=True):
+        for n, yes in zip(nodes, self.decide(nodes, edges), strict=True):
             if yes and n.token >= 0:
                 named.add(n.token)
             elif yes:
                 found.append((n.start, n.end, n.kind))
-        found += [(a, b, "name") for a, b in assemble(words, named)]
+        if named:
+            found += [(a, b, "name") for a, b in assemble(words(), named)]
         out: list[tuple[int, int, str]] = []
         for span in sorted(found, key=lambda x: (x[0], -x[1])):
             if not out or span[0] >= out[-1][1]:
                 out.append(span)
         return out
 
+    def proposed_spans(self, texts: list[str | None], found: dict, parts: dict) -> Iterator[list[tuple[int, int, str]]]:
+        """spans() of each text, from its proposals."""
+        score = np.bincount(np.repeat(np.arange(len(parts["sizes"])), parts["sizes"]), self.w[parts["features"]], len(parts["sizes"]))
+        odds = np.clip(score[parts["forms"]].sum(1), -12.0, 12.0)[found["at"][:, 4]]
+        node = edge = 0
+        for text, n, m in zip(texts, found["per"], found["linked"], strict=True):
+            z = odds[node : node + n]
+            if n and z.max() > 0:
+                nodes = [Node(a, b, "", KINDS[kind], z=x, token=t) for (a, b, kind, t, _), x in zip(found["at"][node : node + n].tolist(), z.tolist(), strict=True)]
+                edges = [(a, b, EDGES[kind]) for a, b, kind in found["links"][edge : edge + m].tolist()]
+                yield self._places(nodes, edges, lambda text=text, nodes=nodes: Words(text, [x for x in nodes if x.token < 0], self.s.givens))
+            else:
+                yield []
+            node, edge = node + n, edge + m
+
+
+def packed(value: object) -> bytes:
+    raw = pickle.dumps(value, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> object:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+
+
+def learnt(parts: dict, silver: dict, dims: int, epochs: int) -> np.ndarray:
+    """Pseudo-likelihood over the labelled nodes of some texts, each given its features and its neighbours' labels.
+
+    Two rows: potentials and edges, each times the number of nodes it was learnt from, and this number; nothing where
+    all labels are equal. Equal nodes count as often as they stand there. An edge may be of no strength, not negative.
+    """
+    label, e, add = silver["label"].tolist(), len(EDGES), np.add.reduce
+    sums = np.zeros((2, dims + e))
+    if len(set(label)) < 2:
+        return sums
+    ends = np.cumsum(parts["sizes"])
+    of_part = [parts["features"][b - n : b] for b, n in zip(ends.tolist(), parts["sizes"].tolist(), strict=True)]
+    rows = [np.concatenate([of_part[i] for i in form]) for form in parts["forms"].tolist()]
+    forms, around = silver["form"].tolist(), silver["around"].astype(np.float32)
+    some = around.any(1).tolist()
+    total, total_j = np.zeros(dims, np.float32), np.zeros(e, np.float32)
+    w, g2 = np.zeros(dims, np.float32), np.full(dims, 1e-2, np.float32)
+    j, j2 = np.zeros(e, np.float32), np.full(e, 1e-2, np.float32)
+    order = np.random.default_rng(7).permutation(np.repeat(np.arange(len(forms)), silver["times"]))
+    sign = np.where(silver["label"], 1, -1)
+    for _ in range(epochs):
+        # nodes that are right beyond doubt before an epoch move nothing in it
+        score = np.bincount(np.repeat(np.arange(len(ends)), parts["sizes"]), w[parts["features"]], len(ends))
+        open_ = sign * (score[parts["forms"]].sum(1)[forms] + (around * j).sum(1)) < 6.9
+        for k in order[open_[order]].tolist():
+            x = rows[forms[k]]
+            z = float(add(w[x])) + (float(add(j * around[k])) if some[k] else 0.0)
+            step = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label[k]
+            if abs(step) > 1e-3:
+                step = np.float32(step)
+                g2[x] = new = g2[x] + step * step
+                w[x] -= 0.3 * step / np.sqrt(new)
+                if some[k]:
+                    g = step * around[k]
+                    j2 += g * g
+                    j = np.maximum(j - 0.3 * g / np.sqrt(j2), 0)
+        total += w
+        total_j += j
+    by_form = np.bincount(silver["form"], silver["times"], len(rows))
+    by_part = sum((np.bincount(parts["forms"][:, c], by_form, len(ends)) for c in range(WIDTH)), np.zeros(len(ends)))
+    sums[1] = np.concatenate([np.bincount(parts["features"], np.repeat(by_part, parts["sizes"]), dims), silver["times"] @ np.abs(around)])
+    sums[0] = np.concatenate([total, total_j]) / epochs * sums[1]
+    return sums
+
 
 def assemble(words: Words, named: set[int]) -> Iterator[tuple[int, int]]:
     """Names from labelled words: given name and surname in either order, initials, or a surname alone."""
@@ -628,13 +748,8 @@ def assemble(words: Words, named: set[int]) -> Iterator[tuple[int, int]]:
         done = k + 1
 
 
-def fit_field(pages: DataFrame, people: DataFrame | None = None, short_forms: DataFrame | None = None, settings: Settings | None = None, key: str = "page_id", text: str = "markdown", name: str = "name") -> Field:
-    """Fit on at most settings.sample pages, chosen by their key's hash.
-
-    people: a table with names of people; at most settings.names of them, again by hash, show which words are given
-    names (they stand in many different names). short_forms: (form, given_name). Null and empty texts are left out.
-    """
-    s = settings or Settings()
+def given_names(people: DataFrame | None = None, short_forms: DataFrame | None = None, name: str = "name") -> frozenset[str]:
+    """Words that are given names: the known ones, those of short_forms (form, given_name), and, over all names of people, words that stand in many different ones."""
     givens = {bare(w) for line in NICKNAMES.replace("\n", " ").split(";") for w in line.replace(":", " ").split() if len(w) > 3}
     givens = {line.split(":")[0].strip() for line in NICKNAMES.replace("\n", " ").split(";")} | {g for g in givens if len(g) > 4}
     givens |= set(RUSSIAN)
@@ -642,19 +757,64 @@ def fit_field(pages: DataFrame, people: DataFrame | None = None, short_forms: Da
         for row in short_forms.select("form", "given_name").distinct().collect():
             givens |= {bare(x) for x in (row[0], row[1]) if x and len(x) > 3}
     if people is not None:
-        sample = hash_sample(people.select(col(people, name).alias("n")).where("n is not null").distinct(), F.col("n"), s.names).collect()
-        seen: dict[str, set[str]] = {}
-        names = {r[0] for r in sample}
-        for full in names:
-            parts = [p for p in regex.findall(r"[\p{L}][\p{L}\p{M}'’-]*", full) if len(p) > 2]
-            for p in parts:
-                seen.setdefault(bare(p), set()).update(bare(q) for q in parts if q != p)
-        many = max(4, len(names) // 500)
-        givens |= {w for w, others in seen.items() if len(others) >= many and w not in TITLES and w not in TRADE and w not in GENERATIONS}
-    s.givens = frozenset(givens - TRADE)
-    body = pages.select(F.substring(col(pages, text), 1, s.chars).alias("t"), col(pages, key).alias("k"))
-    texts = [r[0] for r in hash_sample(body, F.col("k"), s.sample).where("trim(t) <> ''").select("t").collect()]
-    return Field(s).fit(texts)
+        names = people.select(col(people, name).alias("n")).where("n is not null").distinct()
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = set()
+                for full in batch.column(0).to_pylist():
+                    parts = [p for p in regex.findall(r"[\p{L}][\p{L}\p{M}'’-]*", full) if len(p) > 2]
+                    found.update((bare(p), bare(q)) for p in parts for q in parts if q != p)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["word", "other"])
+
+        many = max(4, names.count() // 500)
+        others = names.mapInArrow(pairs, "word string, other string").distinct().groupBy("word").count()
+        # a name has few words, so that few words stand beside so many others, however many names there are
+        seen = {r[0] for r in others.where(F.col("count") >= many).select("word").collect()}
+        givens |= seen - TITLES - TRADE - frozenset(GENERATIONS)
+    return frozenset(givens - TRADE)
+
+
+def proposals(df: DataFrame, model: Field, key: str = "page_id", text: str = "markdown") -> DataFrame:
+    """(pages, parts, silver): all rows of df, many to a row, with their proposals; each text is read here and nowhere else.
+
+    Computed once, into the shared checkpoint folder. No shuffle.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    source = df.select(col(df, key).alias("key"), col(df, text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            first = size = 0
+            for i, body in enumerate(texts):
+                size += len(body or "")
+                if size >= shared.value.s.chunk or i + 1 == len(texts):
+                    some = texts[first : i + 1]
+                    found, parts, silver = shared.value.propose(some)
+                    keys = batch.column(0).take(pa.array(range(first, i + 1), pa.int64()))
+                    row = (keys, some, found), parts, silver
+                    yield pa.RecordBatch.from_arrays([pa.array([packed(x)], pa.binary()) for x in row], names=["pages", "parts", "silver"])
+                    first, size = i + 1, 0
+
+    return cut(source.mapInArrow(run, "pages binary, parts binary, silver binary"))
+
+
+def fit_field(pages: DataFrame, people: DataFrame | None = None, short_forms: DataFrame | None = None, settings: Settings | None = None, key: str = "page_id", text: str = "markdown", name: str = "name") -> Field:
+    """Fit on all pages, their whole texts.
+
+    people: a table with names of people, all of which show which words are given names (they stand in many different
+    names). short_forms: (form, given_name). Null and empty texts are left out.
+    """
+    return fitted(pages, people, short_forms, settings, key, text, name)[0]
+
+
+def fitted(pages: DataFrame, people: DataFrame | None = None, short_forms: DataFrame | None = None, settings: Settings | None = None, key: str = "page_id", text: str = "markdown", name: str = "name") -> tuple[Field, DataFrame]:
+    """(field, proposals): as fit_field, with the pages' proposals, for find_proposed and redact_proposed."""
+    s = settings or Settings()
+    s.givens = given_names(people, short_forms, name)
+    proposed = proposals(pages, Field(s), key, text)
+    return Field(s).fit_proposed(proposed), proposed
 
 
 # Given names as they read when spelt from Cyrillic letters.
@@ -664,6 +824,27 @@ RUSSIAN = "aleksandr aleksandra aleksei anastasia andrei anna anton boris dmitri
 TRADE = frozenset("gmbh ltd inc limited incorporated company group steel trading minerals ceramics abrasives castings foundry furnace technology refractories metals industries holding international services systems solutions gesellschaft sociedad spolka societa".split())
 
 
+def _places(keys: pa.Array, texts: list[str], spans: Iterator[list[tuple[int, int, str]]], key: str) -> pa.RecordBatch:
+    rows, types, values, starts, stops = [], [], [], [], []
+    for i, (body, found) in enumerate(zip(texts, spans, strict=True)):
+        for a, b, t in found:
+            rows.append(i)
+            types.append(t)
+            values.append(body[a:b])
+            starts.append(a)
+            stops.append(b)
+    columns = [keys.take(pa.array(rows, pa.int64())), pa.array(types, pa.string()), pa.array(values, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[key, "pii_type", "pii_value", "start", "stop"])
+
+
+def _redacted(body: str | None, spans: list[tuple[int, int, str]], placeholder: str) -> str | None:
+    parts, last = [], 0
+    for a, b, kind in spans:
+        parts += [body[last:a], placeholder.format(kind.upper())]
+        last = b
+    return "".join([*parts, body[last:]]) if parts else body
+
+
 def find_pii(df: DataFrame, model: Field, key: str = "page_id", text: str = "markdown") -> DataFrame:
     """(key, pii_type, pii_value, start, stop): each place, offsets in characters of the text.
 
@@ -676,20 +857,40 @@ def find_pii(df: DataFrame, model: Field, key: str = "page_id", text: str = "mar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, types, values, starts, stops = [], [], [], [], []
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                for a, b, t in shared.value.spans(body):
-                    rows.append(i)
-                    types.append(t)
-                    values.append(body[a:b])
-                    starts.append(a)
-                    stops.append(b)
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(types, pa.string()), pa.array(values, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "pii_type", "pii_value", "start", "stop"])
+            texts = batch.column(1).to_pylist()
+            yield _places(batch.column(0), texts, map(shared.value.spans, texts), key)
 
     return source.mapInArrow(run, f"`{key}` {kind}, pii_type string, pii_value string, start int, stop int")
 
 
+def find_proposed(proposed: DataFrame, model: Field, kind: str, key: str = "page_id") -> DataFrame:
+    """find_pii of the table whose proposals these are; kind: the type of its key."""
+    shared = proposed.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pages, parts in zip(batch.column(0), batch.column(1), strict=True):
+                keys, texts, found = unpacked(pages.as_py())
+                yield _places(keys, texts, shared.value.proposed_spans(texts, found, unpacked(parts.as_py())), key)
+
+    return proposed.select("pages", "parts").mapInArrow(run, f"`{key}` {kind}, pii_type string, pii_value string, start int, stop int")
+
+
+def redact_proposed(proposed: DataFrame, model: Field, kind: str, key: str = "page_id", text: str = "markdown", placeholder: str = "[{}]") -> DataFrame:
+    """(key, text) of redact for the table whose proposals these are; kind: the type of its key."""
+    shared = proposed.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pages, parts in zip(batch.column(0), batch.column(1), strict=True):
+                keys, texts, found = unpacked(pages.as_py())
+                spans = shared.value.proposed_spans(texts, found, unpacked(parts.as_py()))
+                clean = [_redacted(body, own, placeholder) for body, own in zip(texts, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(clean, pa.string())], names=[key, text])
+
+    return proposed.select("pages", "parts").mapInArrow(run, f"`{key}` {kind}, `{text}` string")
+
+
 def redact(df: DataFrame, model: Field, text: str = "markdown", placeholder: str = "[{}]") -> DataFrame:
     """df with each piece of personal information in `text` replaced by its type, as [EMAIL] or [NAME].
 
@@ -699,15 +900,6 @@ def redact(df: DataFrame, model: Field, text: str = "markdown", placeholder: str
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t:
-                parts, last = [], 0
-                for a, b, kind in shared.value.spans(t):
-                    parts += [t[last:a], placeholder.format(kind.upper())]
-                    last = b
-                t = "".join([*parts, t[last:]])
-            out.append(t)
-        return pd.Series(out, dtype=object)
+        return pd.Series([_redacted(t, shared.value.spans(t), placeholder) if t else t for t in texts], dtype=object)
 
     return df.select(*[clean(col(df, c)).alias(c) if c == text else col(df, c) for c in df.columns])

@@ -127,3 +127,34 @@ NAMES = {
 def test_names_of_any_number_of_words(text):
     words = p2.Words(text, [], frozenset({"juan", "anna", "carlos"}))
     assert [text[a:b] for a, b in p2.assemble(words, words.named)] == NAMES[text]
+
+
+def test_the_fit_sees_all_pages_and_whole_texts(spark):
+    """Plain names far down in long texts, one shape of them on the last of 1,200 pages only."""
+    filler = "The laboratory tests quartz sand every month. " * 150
+    rows = [(i, f"{filler}Ansprechpartner: Robert {n}, Einkauf.") for i, n in enumerate(SURNAMES)]
+    rows += [(i, "Der Ofen ist warm.") for i in range(len(rows), 1200)] + [(1200, "Ofen 12 wartet Herr Sampledorf.")]
+    field, proposed = p2.fitted(spark.createDataFrame(rows, "page_id long, markdown string"))
+    labels = sum(int(p2.unpacked(r["silver"])["times"][p2.unpacked(r["silver"])["label"]].sum()) for r in proposed.collect())
+    assert labels > 2 * len(SURNAMES)
+    text = "Ansprechpartner: Robert Norvikadorf, Einkauf."
+    assert {(k, text[a:b]) for a, b, k in field.spans(text)} == {("name", "Robert Norvikadorf")}
+
+
+def test_given_names_are_counted_over_all_names(spark):
+    words = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(f"X{words(i)}q Y{words(i)}q",) for i in range(25_000)] + [(f"Zelmar Q{words(i)}z",) for i in range(50)] + [(f"Tomvik R{words(i)}z",) for i in range(49)]
+    given = p2.given_names(spark.createDataFrame(rows, "name string"))
+    assert len(rows) // 500 == 50 and "zelmar" in given and "tomvik" not in given
+
+
+def test_proposals_give_what_the_texts_give(spark, field):
+    texts = ["Contact: Robert Sampledorf\nTel. +1 202 555 0123", None, "", "Then Sampledorf left. Write to r.sampledorf@example.test, Robert Sampledorf.", "no one here"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, markdown string")
+    field.s.chunk = 60  # many rows of proposals
+    proposed = p2.proposals(df, field)
+    assert proposed.count() > 3
+    assert sorted(p2.find_proposed(proposed, field, "bigint").collect()) == sorted(p2.find_pii(df, field).collect())
+    assert sorted(map(str, p2.redact_proposed(proposed, field, "bigint").collect())) == sorted(map(str, p2.redact(df, field).collect()))
+    assert p2.find_proposed(p2.proposals(df.limit(0), field), field, "bigint").count() == 0
+    assert not p2.Field(p2.Settings()).fit_proposed(p2.proposals(df.limit(0), field)).w.any()
