@@ -14,6 +14,7 @@ import math
 import pickle
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import col, cut
-from .names import GENERATIONS, NICKNAMES, distance, plain
+from .names import GENERATIONS, NICKNAMES, plain
 
 # How postal addresses are written. W: a capitalised word, T: a town, S: what parts are separated by.
 W = r"\p{Lu}[\p{L}'’]*(?:-\n?\p{L}[\p{L}'’]*)*"
@@ -49,7 +50,30 @@ ADDRESS = [
     rf"(?:ul\.|al\.|pl\.|os\.|[Aa]leja|[Uu]lica|[Pp]lac)\s*{W}(?:\s+{W})*\s+\d+\w?(?:/\d+)?{S}\d{{2}}-\d{{3}}\s+{T}",
     rf"(?:ул\.|улица|проспект|пр-т|пр\.|пер\.|переулок|шоссе|наб\.|бульвар|б-р|пл\.)\s*{W}(?:\s+{W})*{S}(?:д\.|дом)\s*\d+\w?(?:{S}(?:кв\.|оф\.|корп\.|стр\.)\s*\d+)*{S}(?:\d{{5,6}}{S}(?:г\.\s*)?{W}|г\.\s*{W}(?:{S}\d{{6}}\b)?)",
 ]
-ADDRESSES = regex.compile("|".join(ADDRESS))
+#: What stands in each address of the costly patterns, by their place in the list: where one of these is missing, the pattern needs no try.
+STREET_HINT = re.compile(r"\s(?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Place|Square|Terrace|Close|Highway|Parkway|Way|St|Rd|Ave|Ln|Dr|Blvd|Ct|Pl|Sq|Hwy|Pkwy)")
+HINTS = {
+    0: (re.compile(r"[^\W\d_a-z]{2}\s+\d{5}"), STREET_HINT),
+    1: (re.compile(r"[A-Z]\d[A-Z\d]?\s*\d[A-Z]{2}"), STREET_HINT),
+    2: (re.compile(r"\d{4}\s+[^\W\d_a-z]"), re.compile(r"(?:[Ss]tr\.|[Ss]traße|strasse|[Ww]eg|[Pp]latz|[Aa]llee|gasse|[Rr]ing|damm|ufer|chaussee|hof|steig|pfad)\s*\d|(?:Am|der|Im|Zum|Zur|Alte|Neue)\s")),
+    3: (re.compile(r"\d{5}\s"), re.compile(r"(?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|route|cours|square)\s")),
+    7: (re.compile(r"\d{4}\s?[A-Z]{2}"), re.compile(r"(?:straat|laan|weg|plein|kade|gracht|dijk|singel|hof|pad|steeg)\s+\d")),
+}
+
+
+@lru_cache(maxsize=None)
+def _addresses(costly: tuple[int, ...]) -> regex.Pattern:
+    """The patterns of ADDRESS, of those with hints only these; tried only where the first sign may begin one."""
+    return regex.compile(r"(?=[\p{Lu}\dупшнб]|[aup]l|os\.)(?:" + "|".join(p for i, p in enumerate(ADDRESS) if i in costly or i not in HINTS) + ")")
+
+
+class Addresses:
+    """All of ADDRESS as one pattern."""
+
+    @staticmethod
+    def finditer(text: str, lo: int, hi: int) -> Iterator:
+        costly = tuple(i for i, hints in HINTS.items() if all(h.search(text, lo, hi) for h in hints))
+        return _addresses(costly if len(costly) < 2 else tuple(HINTS)).finditer(text, lo, hi)  # few patterns to compile
 
 # How electronic addresses are written or hidden.
 LABEL = r"[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?"
@@ -98,9 +122,12 @@ WORD = re.compile(rf"((?:{UPPER}\.|(?:{RUN}(?:-\n?(?=[^\W\d_]))?)+|\d+|\S))")
 #: Kinds of edges. chain: words that stand together; the others skip: equal words, words an edit apart, a word and an address that holds it, equal figures.
 EDGES = ("chain", "skip", "near", "mail", "digits")
 KINDS = ("name", "email", "address", "phone", "id_number")
+#: Labelled nodes that move the potentials at once.
+BATCH = 128
 #: Parts of a node, at most.
 WIDTH = 4
-NONE = [0] * len(EDGES)
+#: Truths that a word's place is made of, which of them are plain marks, and which of them are shown where these are hidden; in bits.
+PLACE, MARKS, SHOWN = 10, 0b0001111110, 0b1100000011
 EDGE = {kind: i for i, kind in enumerate(EDGES)}
 
 
@@ -118,6 +145,8 @@ class Settings:
 
 @lru_cache(maxsize=100_000)
 def bare(word: str) -> str:
+    if word.isascii():
+        return word.replace("\n", "").lower().rstrip(".")
     return plain(word.replace("-\n", "-").replace("\n", "")).rstrip(".")
 
 
@@ -183,9 +212,9 @@ def found_in(pattern, text: str, lo: int, hi: int) -> list:
         lo, hi = max(0, lo - size) if left else lo, min(len(text), hi + size) if right else hi
 
 
-def fixed_nodes(text: str) -> list[Node]:
-    """Proposals for electronic and postal addresses; a postal one gives way to an electronic one."""
-    marks = [m.start() for m in AT_SIGN.finditer(text)]
+def fixed_nodes(text: str, signs: list[int] | None = None) -> list[Node]:
+    """Proposals for electronic and postal addresses; a postal one gives way to an electronic one. signs: where AT_SIGN matches, if known."""
+    marks = [m.start() for m in AT_SIGN.finditer(text)] if signs is None else signs
     if "dot" in text or "DOT" in text:
         marks = sorted(marks + [m.start() for m in AT_WORD.finditer(text)])
     out: list[Node] = []
@@ -199,7 +228,7 @@ def fixed_nodes(text: str) -> list[Node]:
     if "д" in text:
         marks = sorted(marks + [m.start() for m in HOUSE.finditer(text)])
     for lo, hi in windows(marks, 140, 80, text):
-        for m in found_in(ADDRESSES, text, lo, hi):
+        for m in found_in(Addresses, text, lo, hi):
             if free(m):
                 out.append(Node(m.start(), m.end(), m.group(), "address", (("address", bool(re.match(r"\s*[,;]", text[m.end() : m.end() + 2]))),), silver=True))
     return sorted(out, key=lambda n: n.start)
@@ -210,11 +239,15 @@ DATE = regex.compile(r".{0,2}\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 BREAK = regex.compile(r"[;!?\n]\s*\n|(?<!\b(?:no|n|nr|núm|n[or]))\.\s", regex.I)
 
 
-def number_nodes(text: str, taken: list[Node]) -> list[Node]:
-    """Proposals for phone and identity numbers. A word before one labels it: such numbers teach what the others are."""
+def number_nodes(text: str, taken: list[Node], codes: list[tuple[int, int]] | None = None, figures: list[tuple[int, int]] | None = None) -> list[Node]:
+    """Proposals for phone and identity numbers. A word before one labels it: such numbers teach what the others are.
+
+    codes, figures: stretches outside of which CODED finds nothing of five figures, and FIGURES nothing of seven.
+    """
+    whole = [(0, len(text))]
     nodes: list[Node] = []
     free = lambda a, b: not any(n.start < b and a < n.end for n in taken) and not any(n.start < b and a < n.end for n in nodes)
-    for m in CODED.finditer(text):
+    for m in (m for a, b in (whole if codes is None else codes) for m in CODED.finditer(text, a, b)):
         if m.end() - m.start() < 5 or digits(m.group()) < 5:
             continue
         before = BROKEN.sub("", text[max(0, m.start() - 90) : m.start()])
@@ -227,7 +260,7 @@ def number_nodes(text: str, taken: list[Node]) -> list[Node]:
             if len(gap) <= 34 and not digits(gap) and not BREAK.search(gap) and free(value.start(), value.end()):
                 nodes.append(Node(value.start(), value.end(), regex.sub(r"[^\dA-Z]", "", value.group()), "id_number", (("number", "id", False, False, 0),), silver=True))
     runs: list[list[int]] = []
-    for run in FIGURES.finditer(text):
+    for run in (m for a, b in (whole if figures is None else figures) for m in FIGURES.finditer(text, a, b)):
         if digits(run.group()) >= 7:
             if runs and run.start() <= runs[-1][1]:
                 runs[-1][1] = run.end() + 22
@@ -256,17 +289,26 @@ class Words:
     """The words of a text outside what is taken, with what the features need."""
 
     def __init__(self, text: str, taken: list[Node], givens: frozenset[str]):
-        self.text = text
-        pieces = WORD.split(text)
-        self.word = pieces[1::2]
-        ends = list(accumulate(map(len, pieces)))
-        self.start, self.stop = ends[0:-1:2], ends[1::2]
-        self.inside: set[int] = set()
+        ends = list(accumulate(map(len, WORD.split(text))))
+        start, stop = ends[0:-1:2], ends[1::2]
+        inside: set[int] = set()
         for n in taken:
-            i = bisect_right(self.stop, n.start)
-            while i < len(self.word) and self.start[i] < n.end:
-                self.inside.add(i)
+            i = bisect_right(stop, n.start)
+            while i < len(stop) and start[i] < n.end:
+                inside.add(i)
                 i += 1
+        self._set(text, start, stop, inside, givens)
+
+    @classmethod
+    def of(cls, text: str, start: list[int], stop: list[int], inside: set[int], givens: frozenset[str]) -> Words:
+        """From where the words begin and end, and those inside what is taken."""
+        words = cls.__new__(cls)
+        words._set(text, start, stop, inside, givens)
+        return words
+
+    def _set(self, text: str, start: list[int], stop: list[int], inside: set[int], givens: frozenset[str]) -> None:
+        self.text, self.start, self.stop, self.inside = text, start, stop, inside
+        self.word = [text[a:b] for a, b in zip(start, stop, strict=True)]
         capital = [(i, bare(w)) for i, w in enumerate(self.word) if len(w) > 2 and w[0].isupper()]
         self.named = {i for i, w in capital if i not in self.inside and w not in STOP}
         self.given = {i for i, w in capital if w in givens}
@@ -330,26 +372,220 @@ class Words:
         after = ("right", bare(word[i + 1]) if i + 1 < n else "$", bare(word[i + 2]) if i + 2 < n else "$")
         return ("word", word[i]), before, after, place
 
-    def silver(self, i: int) -> bool:
-        """A label for fitting, where the place leaves little doubt: beside a given name, or after a title."""
-        n = len(self.word)
-        other = lambda j: 0 <= j < n and self.candidate(j) and j not in self.given
-        after = lambda j: j + 1 < n and self.near(j, j + 1) and (other(self.behind(j)) or self.initial(j + 1) and j + 2 < n and self.near(j + 1, j + 2) and other(j + 2))
-        if i in self.given:
-            before = i > 0 and self.near(i - 1, i) and other(i - 1)
-            return bool(after(i) or before or (i > 1 and self.word[i - 1] == "," and other(i - 2)))
-        if i + 1 < n and self.bare(i + 1) in TRADE:
-            return False
-        if self.before(i) in self.given:
-            return True
-        if i > 0 and self.near(i - 1, i) and self.initial(i - 1) and self.word[i - 1].endswith("."):
-            return True
-        if i > 1 and self.initial(i - 1) and (i - 2 in self.given) and self.near(i - 2, i - 1) and self.near(i - 1, i):
-            return True
-        if i + 1 < n and (i + 1 in self.given) and self.near(i, i + 1):  # surname first, unless the given name has its own
-            return not after(i + 1)
-        comma = i + 2 < n and self.word[i + 1] == "," and (i + 2 in self.given) and not after(i + 2)
-        return self.title(i) or comma and not (i > 0 and (i - 1 in self.given))
+
+#: What a sign is, bit by bit: a mark goes on with a run of letters, leading signs may stand before a line's first word,
+#: an at sign may stand in an electronic address; the last two are what CODED and FIGURES are made of.
+LETTER, FIGURE, SPACE, MARK, CAPITAL, LEADING, SIGN_AT, IN_CODE, IN_FIGURES = (1 << i for i in range(9))
+
+
+@lru_cache(maxsize=100_000)
+def _sign(c: str) -> int:
+    letter, figure, space = c.isalnum() and not c.isdecimal(), c.isdecimal(), c.isspace()
+    mark = not letter and (c in "'’" or "\u0300" <= c <= "\u036f")
+    own = LETTER * letter | FIGURE * figure | SPACE * space | MARK * mark | CAPITAL * bool(re.match(UPPER, c)) | LEADING * (c in " *#>|-\t") | SIGN_AT * (c in "@＠&[({")
+    return own | IN_CODE * (figure or space or "A" <= c <= "Z" or c in ".-/") | IN_FIGURES * (figure or space or c in "().+/-")
+
+
+#: What a word is, bit by bit.
+CAPITALISED, INITIAL, DOTTED, PARTICLE, ARTICLE, COMMA, POINT, BEGINS, TITLE, TRADES, STOPS = (1 << i for i in range(11))
+
+
+@lru_cache(maxsize=100_000)
+def _traits(w: str) -> int:
+    b, capital = bare(w), w[:1].isupper()
+    own = CAPITALISED * (capital and len(w) > 2) | INITIAL * (capital and len(w) <= 2 and len(w.rstrip(".")) == 1) | DOTTED * w.endswith(".") | PARTICLE * (w in PARTICLES) | ARTICLE * (w in ARTICLES)
+    own |= COMMA * (w == ",") | POINT * (w == ".") | BEGINS * (w in (".", "!", "?", ":"))
+    return own | TITLE * (b in TITLES) | TRADES * (b in TRADE) | STOPS * (b in STOP)
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """x[i + by] at i, 0 beyond the ends."""
+    out = np.zeros_like(x)
+    if by > 0:
+        out[:-by] = x[by:]
+    else:
+        out[-by:] = x[:by]
+    return out
+
+
+def numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row among the different ones, where each different row stands first)."""
+    number, many = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns if len(number) else ():
+        least = int(c.min())
+        span = int(c.max()) - least + 1
+        if many > 2**62 // span:
+            distinct, number = np.unique(number, return_inverse=True)
+            many = len(distinct)
+        number, many = number * span + (c.astype(np.int64) - least), many * span
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, first
+
+
+class Pages:
+    """The words of many texts as columns: what Words says of one word, said of all.
+
+    Three empty words stand before each text and behind the last, so that no word sees one of another text.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        lengths = np.array([len(t) + 2 for t in texts], np.int64)
+        self.base = base = np.cumsum(lengths) - lengths
+        self.joined = "\n\n".join([*texts, ""])
+        starts, stops, code, fresh = self._cut(self.joined)
+        at = np.searchsorted(starts, np.append(base, len(code)))
+        of = np.repeat(np.arange(len(texts)), np.diff(at))
+        self.first = at + 3 * np.arange(1, len(at) + 1)
+        self.starts, self.stops, self.at = starts, stops, np.arange(len(starts)) + 3 * (of + 1)
+        self.size = len(starts) + 3 * len(at)
+        self.of, self.start, self.stop, self.fresh = map(self._column, (of, starts - base[of], stops - base[of], fresh))
+        lines = np.cumsum(np.append(np.uint8(0), code == 10), dtype=np.int32)
+        near = np.zeros(len(starts), bool)
+        near[:-1] = (starts[1:] > stops[:-1]) & (lines[starts[1:]] - lines[stops[:-1]] <= 1) & (of[1:] == of[:-1])
+        self.near = self._column(near)
+
+    def describe(self, givens: frozenset[str]) -> Pages:
+        """What each word is."""
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        number[""]  # the empty words
+        self.word = self._column(np.fromiter(map(number.__getitem__, [self.joined[a:b] for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]), np.int32, len(self.starts)))
+        self.vocabulary = list(number)
+        self.keys: defaultdict[str, int] = defaultdict()
+        self.keys.default_factory = self.keys.__len__
+        self.none_left, self.none_right = self.keys["^"], self.keys["$"]
+        plain_ = list(map(bare, self.vocabulary))
+        self.bare = np.array([self.keys[b] for b in plain_], np.int64)[self.word]
+        self.bares = list(self.keys)
+        self.real = self.word > 0
+        traits = np.array(list(map(_traits, self.vocabulary)), np.uint16)[self.word]
+        self.capital, self.initial, self.dotted, particle, article, self.comma, point, begins, title, self.trade, self.unnamed = (traits & 1 << bit > 0 for bit in range(11))
+        self.given = self.capital & np.array([b in givens for b in plain_], bool)[self.word]
+        self.particle = particle | article & shifted(particle, -1)
+        self.title = np.where(shifted(point, -1) & shifted(self.real, -2), shifted(title, -2), shifted(title, -1))
+        self.fresh = self.fresh | ~shifted(self.real, -1) | shifted(begins, -1)
+        return self
+
+    def _column(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size, values.dtype)
+        out[self.at] = values
+        return out
+
+    def take(self, taken: list[tuple[int, int, int]]) -> Pages:
+        """Marks the words inside these stretches (text, begin, end); they are no names."""
+        inside = np.zeros(len(self.starts) + 1, np.int64)
+        if taken:
+            t, a, b = np.array(taken, np.int64).T
+            np.add.at(inside, np.searchsorted(self.stops, self.base[t] + a, "right"), 1)
+            np.add.at(inside, np.searchsorted(self.starts, self.base[t] + b, "left"), -1)
+        self.inside = self._column(np.cumsum(inside)[:-1] > 0)
+        return self
+
+    def names(self) -> np.ndarray:
+        """The words that may be names, once they are described and those inside other places are marked."""
+        self.named = self.capital & ~self.inside & ~self.unnamed
+        self.initial = self.initial & ~self.inside
+        return np.flatnonzero(self.named)
+
+    def _cut(self, joined: str) -> tuple[np.ndarray, ...]:
+        """Where the words that WORD finds begin and end, the signs' codes, and which words are the first of a line."""
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(int(code.max(initial=0)) + 1, bool)
+        seen[code] = True
+        table = np.zeros(len(seen), np.uint16)
+        for c in np.flatnonzero(seen).tolist():
+            table[c] = _sign(chr(c))
+        self.sign = sign = table[code]
+        letter, figure, space = (sign & bit > 0 for bit in (LETTER, FIGURE, SPACE))
+        run = letter.copy()
+        marks = np.flatnonzero(sign & MARK)
+        if len(marks):  # marks in a row go on with a letter before the first
+            new = np.append(True, np.diff(marks) > 1)
+            head = marks[new][np.cumsum(new) - 1]
+            run[marks] = (head > 0) & letter[head - 1]
+        # a hyphen, with a line's end behind it, goes on with a word if a letter follows
+        line = code == 10
+        broken = shifted(line, 1) & shifted(letter, 2)
+        hyphen = (code == 45) & shifted(run, -1) & (shifted(letter, 1) | broken)
+        run |= hyphen | shifted(hyphen & broken, -1)
+        single = ~(run | figure | space)
+        begin = run & ~shifted(run, -1) | figure & ~shifted(figure, -1) | single
+        end = run & ~shifted(run, 1) | figure & ~shifted(figure, 1) | single
+        starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        initial = (stops - starts == 1) & (sign[starts] & CAPITAL > 0) & (code[np.minimum(stops, len(code) - 1)] == 46)
+        stops = stops + initial
+        keep = ~shifted(initial, -1)
+        starts, stops = starts[keep], stops[keep]
+        last = np.maximum.accumulate(np.where(sign & LEADING, np.int32(0), np.arange(len(code), dtype=np.int32)))
+        return starts, stops, code, line[last[np.maximum(starts - 1, 0)]]
+
+    def stretches(self, bit: int, figures: int) -> list[list[tuple[int, int]]]:
+        """For each text where it has signs of this kind only, as far as they go, with at least so many figures."""
+        own = self.sign & bit > 0
+        own[self.base[1:] - 1] = own[self.base[1:] - 2] = False
+        change = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
+        lo, hi = change[::2], change[1::2]
+        count = np.cumsum(np.append(np.uint8(0), self.sign & FIGURE > 0), dtype=np.int32)
+        some = count[hi] - count[lo] >= figures
+        out: list[list[tuple[int, int]]] = [[] for _ in self.texts]
+        of = np.searchsorted(self.base, lo[some], "right") - 1
+        for t, a, b in zip(of.tolist(), (lo[some] - self.base[of]).tolist(), (hi[some] - self.base[of]).tolist(), strict=True):
+            out[t].append((a, b))
+        return out
+
+    def at_signs(self) -> list[list[int]]:
+        """For each text where AT_SIGN matches."""
+        out: list[list[int]] = [[] for _ in self.texts]
+        places = np.flatnonzero(self.sign & SIGN_AT)
+        of, end = np.searchsorted(self.base, places, "right") - 1, (-1, 0)
+        for t, i in zip(of.tolist(), (places - self.base[of]).tolist(), strict=True):
+            if (t, i) >= end and (m := AT_SIGN.match(self.texts[t], i)):
+                out[t].append(i)
+                end = t, m.end()
+        return out
+
+    def behind(self, i: np.ndarray) -> np.ndarray:
+        """Words.behind of the words i."""
+        j = i + 1
+        while (on := self.near[j - 1] & self.particle[j]).any():
+            j = j + on
+        return np.where(self.near[j - 1], j, -1)
+
+    def before(self, i: np.ndarray) -> np.ndarray:
+        """Words.before of the words i, where it isn't the text's first word and a particle."""
+        j = i - 1
+        while (on := self.near[j] & self.particle[j]).any():
+            j = j - on
+        return np.where(self.near[j], j, -1)
+
+    def other(self, i: np.ndarray) -> np.ndarray:
+        return (i >= 0) & self.named[i] & ~self.given[i]
+
+    def places(self, i: np.ndarray) -> np.ndarray:
+        """The place of each word i, as PLACE says, in bits."""
+        near, given, before = self.near, self.given, self.before(i)
+        left = (before >= 0) & given[before]
+        bits = (self.fresh[i], given[i], left, given[i + 1] & near[i], given[i + 2] & self.comma[i + 1], self.title[i], self.initial[i - 1], self.initial[i + 1], self.named[i - 1], self.named[i + 1])
+        return sum(b.astype(np.int64) << c for c, b in enumerate(bits))
+
+    def silver(self, i: np.ndarray) -> np.ndarray:
+        """Labels for fitting, where the place leaves little doubt: a word beside a given name, or after a title."""
+        near, given, initial = self.near, self.given, self.initial
+        after = lambda j: near[j] & (self.other(self.behind(j)) | initial[j + 1] & near[j + 1] & self.other(j + 2))
+        own = after(i) | near[i - 1] & self.other(i - 1) | self.comma[i - 1] & self.other(i - 2)
+        before = self.before(i)
+        left = (before >= 0) & given[before]
+        left |= near[i - 1] & initial[i - 1] & (self.dotted[i - 1] | given[i - 2] & near[i - 2])
+        turned = given[i + 1] & near[i]  # surname first, unless the given name has its own
+        comma = self.comma[i + 1] & given[i + 2] & ~after(i + 2) & ~given[i - 1]
+        rest = left | np.where(turned, ~after(i + 1), self.title[i] | comma)
+        return np.where(given[i], own, ~self.trade[i + 1] & rest)
+
+    def words(self, t: int, givens: frozenset[str]) -> Words:
+        """The words of text t."""
+        a, b = self.first[t], self.first[t + 1] - 3
+        return Words.of(self.texts[t], self.start[a:b].tolist(), self.stop[a:b].tolist(), set(np.flatnonzero(self.inside[a:b]).tolist()), givens)
 
 
 def spelt(part: tuple) -> list[str]:
@@ -380,6 +616,25 @@ def hidden(part: tuple) -> tuple:
     return (*part[:2], False, *part[3:]) if part[0] == "number" else part
 
 
+def mail_words(address: str) -> list[str]:
+    """The words before an electronic address's sign."""
+    return [bare(w) for w in re.findall(r"[^\W\d_]{4,}", re.split(r"[@＠(\[{]|&#64;|\sat\s", address)[0])]
+
+
+def pieces(key: str) -> set[str]:
+    """Three letters of a word at its beginning, middle and end."""
+    half = len(key) // 2
+    return {key[:3], key[half : half + 3], key[-3:]}
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether at most one edit, or a swap of neighbours, makes the words equal."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] in (b[i + 1 :], b[i:]) or a[i:] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+
+
 class Field:
     """The random field: weights of the node potentials and the strength of its edges."""
 
@@ -399,27 +654,18 @@ class Field:
         named = [Node(words.start[i], words.stop[i], words.bare(i), "name", words.parts(i), token=i) for i in sorted(words.named)]
         return named + taken, words
 
-    def _silver(self, nodes: list[Node], words: Words, edges: list[tuple[int, int, str]]) -> list[list[int]]:
-        """Sets the silver labels of a text's nodes; gives each node's labelled neighbours, by kind of edge, those of label 0 as -1.
+    def _silver(self, p: Pages, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The silver labels of the words k, -1 for none.
 
         A word that a plain place of its document shows to be a name, but its own place doesn't, has no silver label:
         it is what the field shall decide.
         """
-        for n in nodes:
-            if n.token >= 0:  # without a given name, a title or an initial beside it no place is plain
-                n.silver = any(n.parts[-1][2:8]) and words.silver(n.token)
-        plain_names = {n.key for n in nodes if n.token >= 0 and n.silver}
-        for n in nodes:
-            if n.token >= 0 and not n.silver and n.key in plain_names and not (n.token + 1 < len(words.word) and words.bare(n.token + 1) in TRADE):
-                n.silver = None
-        near = [NONE] * len(nodes)
-        for a, b, kind in edges:
-            for i, j in ((a, b), (b, a)):
-                if nodes[j].silver is not None:
-                    if near[i] is NONE:
-                        near[i] = [0] * len(EDGES)
-                    near[i][EDGE[kind]] += 1 if nodes[j].silver else -1
-        return near
+        label = np.zeros(len(k), np.int8)
+        marked = np.flatnonzero(place & MARKS)  # without a given name, a title or an initial beside it no place is plain
+        label[marked] = p.silver(k[marked])
+        key = p.of[k] * len(p.bares) + p.bare[k]
+        label[(label == 0) & np.isin(key, key[label > 0]) & ~p.trade[k + 1]] = -1
+        return label
 
     def propose(self, texts: list[str | None]) -> tuple[dict, dict, dict]:
         """(found, parts, silver): the proposals of some texts, their different parts with these' features, and what the fit needs.
@@ -427,54 +673,92 @@ class Field:
         So that the edges are learnt from nodes which they must decide, a node with labelled neighbours serves a second
         time with its word and its own plain marks hidden.
         """
-        dims, number, forms, bare_form = self.s.dims, {(): 0}, {}, {}
-        features: list[int] = []
-        sizes, of = [0], []
-
-        def form(parts: tuple) -> int:
-            """The number of all parts of a node together."""
-            out = [0] * WIDTH
-            for c, part in enumerate(parts):
-                got = number.get(part)
-                if got is None:
-                    got = number[part] = len(sizes)
-                    own = {_hash(f, dims) for f in spelt(part)}
-                    features.extend(own)
-                    sizes.append(len(own))
-                out[c] = got
-            of.extend(out)
-            forms[parts] = len(forms)
-            return forms[parts]
-
-        per, at, linked, links = [], [], [], []
-        rows: dict[tuple, int] = {}
-        for text in texts:
-            nodes, words = self._nodes(text) if text else ([], None)
-            edges = self._edges(nodes, words, all_=True) if nodes else []
-            for n, beside in zip(nodes, self._silver(nodes, words, edges), strict=True):
-                own = forms.get(n.parts)
-                if own is None:
-                    own = form(n.parts)
-                at += (n.start, n.end, KINDS.index(n.kind), n.token, own)
-                if n.silver is not None:
-                    row = (own, n.silver, *beside)
-                    rows[row] = rows.get(row, 0) + 1
-                    if beside is not NONE and any(beside):
-                        less = bare_form.get(own)
-                        if less is None:
-                            parts = tuple(map(hidden, n.parts))
-                            less = bare_form[own] = forms[parts] if parts in forms else form(parts)
-                        row = (less, n.silver, *beside)
-                        rows[row] = rows.get(row, 0) + 1
-            for a, b, kind in edges:
-                links += (a, b, EDGE[kind])
-            per.append(len(nodes))
-            linked.append(len(edges))
+        bodies = [text or "" for text in texts]
+        p = Pages(bodies).describe(self.s.givens)
+        taken: list[tuple[int, Node]] = []
+        for t, (body, signs, codes, figures) in enumerate(zip(bodies, p.at_signs(), p.stretches(IN_CODE, 5), p.stretches(IN_FIGURES, 7), strict=True)):
+            own = fixed_nodes(body, signs)
+            taken += ((t, n) for n in own + number_nodes(body, own, codes, figures))
+        k = p.take([(t, n.start, n.end) for t, n in taken]).names()
         whole = lambda x, width: np.array(x, np.int32).reshape(-1, width)
-        found = {"per": per, "at": whole(at, 5), "linked": linked, "links": whole(links, 3)}
-        parts = {"features": np.array(features, np.int32), "sizes": np.array(sizes, np.int32), "forms": whole(of, WIDTH)}
-        row = whole(list(rows), 2 + len(EDGES))
-        return found, parts, {"form": row[:, 0], "label": row[:, 1] > 0, "around": row[:, 2:].astype(np.int16), "times": np.array(list(rows.values()), np.int32)}
+        # nodes: a text's names, then what else it has
+        own = np.array([t for t, _ in taken], np.int64)
+        order = np.argsort(np.concatenate([2 * p.of[k], 2 * own + 1]), kind="stable")
+        node = np.empty(len(order), np.int64)
+        node[order] = np.arange(len(order))
+        per = np.bincount(p.of[k], minlength=len(texts)) + np.bincount(own, minlength=len(texts))
+        first = np.cumsum(per) - per
+        named, others = node[: len(k)], node[len(k) :]
+
+        # parts: numbers of the different ones, 0 for none
+        spelling: list[tuple] = [()]
+
+        def part(different: list[tuple], number: np.ndarray) -> np.ndarray:
+            spelling.extend(different)
+            return number + (len(spelling) - len(different))
+
+        word, at = numbered(p.word[k])
+        word = part([("word", p.vocabulary[x]) for x in p.word[k[at]].tolist()], word)
+        beside = lambda by, none: np.where(p.real[k + by], p.bare[k + by], none)
+        left, right = (beside(-1, p.none_left), beside(-2, p.none_left)), (beside(1, p.none_right), beside(2, p.none_right))
+        sides = []
+        for kind, (near, far) in (("left", left), ("right", right)):
+            side, at = numbered(near, far)
+            sides.append(part([(kind, p.bares[x], p.bares[y]) for x, y in zip(near[at].tolist(), far[at].tolist(), strict=True)], side))
+        place = p.places(k)
+        places, of_place = np.unique(np.concatenate([place, place & SHOWN]), return_inverse=True)
+        of_place = part([("place", *(bool(x >> c & 1) for c in range(PLACE))) for x in places.tolist()], of_place)
+        plain_part: dict[tuple, int] = {}
+        for _, n in taken:
+            for x in (n.parts[0], hidden(n.parts[0])):
+                plain_part.setdefault(x, len(plain_part))
+        of_taken = part(list(plain_part), np.array([(plain_part[n.parts[0]], plain_part[hidden(n.parts[0])]) for _, n in taken], np.int64).reshape(-1, 2))
+        no_word = int(part([hidden(("word", ""))], np.int64(0)))
+        forms = np.zeros((2, len(node), WIDTH), np.int64)  # as they are, and without their plain marks
+        forms[0, named] = np.stack([word, *sides, of_place[: len(k)]], 1)
+        forms[1, named] = np.stack([np.full(len(k), no_word), *sides, of_place[len(k) :]], 1)
+        forms[:, others, 0] = of_taken.T
+
+        silver = np.full(len(node), -1, np.int8)
+        silver[others] = [-1 if n.silver is None else n.silver for _, n in taken]
+        silver[named] = self._silver(p, k, place)
+        edges = self._all_edges(p, k, named, first, [(t, n, x) for (t, n), x in zip(taken, others.tolist(), strict=True)])
+        around = np.zeros((len(node), len(EDGES)), np.int64)
+        for a, b in ((0, 1), (1, 0)):
+            labelled = edges[silver[edges[:, b]] >= 0]
+            np.add.at(around, (labelled[:, a], labelled[:, 2]), 2 * silver[labelled[:, b]] - 1)
+
+        known = np.flatnonzero(silver >= 0)
+        again = known[around[known].any(1)]
+        every = np.concatenate([forms[0], forms[1, again]])
+        form, at = numbered(*every.T)
+        every = every[at]
+        rows = np.concatenate([known, again])
+        row_form = np.concatenate([form[known], form[len(node) :]])
+        # in the order in which they stand, as the fit goes through them in an order drawn from that
+        stand = np.argsort(np.concatenate([2 * known, 2 * again + 1]))
+        rows, row_form = rows[stand], row_form[stand]
+        row, at = numbered(row_form, silver[rows], *around[rows].T)
+        times, own = np.bincount(row, minlength=len(at)), np.argsort(at)
+        at, times = at[own], times[own]
+        used, every = np.unique(np.concatenate([[0], every.ravel()]), return_inverse=True)
+        features: list[int] = []
+        sizes = []
+        dims = self.s.dims
+        for x in used.tolist():
+            own_features = {_hash(f, dims) for f in spelt(spelling[x])} if x else ()
+            features.extend(own_features)
+            sizes.append(len(own_features))
+        at_column = np.zeros((len(node), 5), np.int32)
+        at_column[named] = np.stack([p.start[k], p.stop[k], np.full(len(k), KINDS.index("name")), k - p.first[p.of[k]], form[named]], 1)
+        at_column[others] = np.concatenate([whole([(n.start, n.end, KINDS.index(n.kind), n.token) for _, n in taken], 4), form[others][:, None]], 1)
+        text_of = np.repeat(np.arange(len(texts)), per)
+        edges = edges[np.argsort(text_of[edges[:, 0]], kind="stable")]
+        of_edge = text_of[edges[:, 0]]
+        links = np.stack([edges[:, 0] - first[of_edge], edges[:, 1] - first[of_edge], edges[:, 2]], 1).astype(np.int32)
+        found = {"per": per.tolist(), "at": at_column, "linked": np.bincount(of_edge, minlength=len(texts)).tolist(), "links": links}
+        parts = {"features": np.array(features, np.int32), "sizes": np.array(sizes, np.int32), "forms": every[1:].reshape(-1, WIDTH).astype(np.int32)}
+        return found, parts, {"form": row_form[at].astype(np.int32), "label": silver[rows[at]] > 0, "around": around[rows[at]].astype(np.int16), "times": times.astype(np.int32)}
 
     def fit(self, texts: list[str]) -> Field:
         """Potentials and edges from texts at hand."""
@@ -508,6 +792,62 @@ class Field:
                 z += got
             n.z = max(-12.0, min(12.0, z))
 
+    def _all_edges(self, p: Pages, k: np.ndarray, named: np.ndarray, first: np.ndarray, taken: list[tuple[int, Node, int]]) -> np.ndarray:
+        """Rows (node, node, kind of edge): what _edges gives for each text, of all texts; named: the nodes of words k."""
+        edges: list[np.ndarray] = []
+        add = lambda a, b, kind: edges.append(np.stack([a, b, np.full(len(a), EDGE[kind])], 1))
+        figures, mails, same = {}, {}, []
+        for t, n, x in taken:
+            if n.kind in ("phone", "id_number"):
+                if (t, n.key) in figures:
+                    same.append((figures[t, n.key], x))
+                figures[t, n.key] = x
+            elif n.kind == "email":
+                for word in mail_words(n.key):
+                    if word in p.keys:
+                        mails.setdefault(t * len(p.bares) + p.keys[word], x)
+        add(*np.array(same, np.int64).reshape(-1, 2).T, "digits")
+        key = p.of[k] * len(p.bares) + p.bare[k]
+        if mails:
+            known = np.array(sorted(mails.items()), np.int64)
+            at = np.minimum(np.searchsorted(known[:, 0], key), len(known) - 1)
+            held = known[at, 0] == key
+            add(named[held], known[at[held], 1], "mail")
+        node = np.full(len(p.word), -1, np.int64)
+        node[k] = named
+        over = k[p.particle[k + 1]]
+        after = p.behind(over)
+        some = (after - over > 1) & (node[after] >= 0)
+        add(node[over[some]], node[after[some]], "chain")
+        for by, there in ((1, p.near[k]), (2, p.initial[k + 1])):
+            there = there & (node[k + by] >= 0)
+            add(named[there], node[k[there] + by], "chain")
+        order = np.argsort(key, kind="stable")  # each occurrence to the one before it: as strong as all pairs, and linear
+        equal = key[order[1:]] == key[order[:-1]]
+        add(named[order[:-1][equal]], named[order[1:][equal]], "skip")
+        last = order[np.append(~equal, True)] if len(order) else order
+        spelt_ = {x: p.bares[x] for x in np.unique(p.bare[k]).tolist()}
+        rank = {x: i for i, x in enumerate(sorted((x for x, w in spelt_.items() if len(w) >= 7), key=spelt_.__getitem__))}
+        last = last[np.isin(p.bare[k[last]], np.array(list(rank), np.int64))]
+        if len(last):  # nearly the same: one edit leaves the first or the second half alone
+            number: dict[str, int] = {}
+            third = np.full((len(p.bares), 3), -1, np.int64)
+            place = np.zeros(len(p.bares), np.int64)
+            for x, i in rank.items():
+                place[x] = i
+                for c, piece in enumerate(pieces(spelt_[x])):
+                    third[x, c] = number.setdefault(piece, len(number))
+            own = p.bare[k[last]]
+            piece = third[own].ravel()
+            rows = np.stack([np.repeat(p.of[k[last]], 3), piece, np.repeat(place[own], 3), np.repeat(last, 3)])[:, piece >= 0]
+            rows = rows[:, np.lexsort(rows[2::-1])]
+            beside = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
+            x, y = rows[3, :-1][beside], rows[3, 1:][beside]
+            pair, at = numbered(p.bare[k[x]], p.bare[k[y]])
+            close = np.array([alike(spelt_[a], spelt_[b]) for a, b in zip(p.bare[k[x[at]]].tolist(), p.bare[k[y[at]]].tolist(), strict=True)], bool)[pair]
+            add(named[x[close]], named[y[close]], "near")
+        return np.concatenate(edges)
+
     def _edges(self, nodes: list[Node], words: Words, all_: bool = False) -> list[tuple[int, int, str]]:
         """(node, node, kind) of the edges; those between words that nothing speaks for can't turn one and are left out."""
         edges: list[tuple[int, int, str]] = []
@@ -519,8 +859,8 @@ class Field:
                     edges.append((last["figures", n.key], k, "digits"))
                 last["figures", n.key] = k
             elif n.kind == "email":
-                for p in re.findall(r"[^\W\d_]{4,}", re.split(r"[@＠(\[{]|&#64;|\sat\s", n.key)[0]):
-                    mails.setdefault(bare(p), k)
+                for word in mail_words(n.key):
+                    mails.setdefault(word, k)
         named = [(k, n) for k, n in enumerate(nodes) if n.token >= 0]
         held = [(k, mails[n.key]) for k, n in named if n.key in mails] if mails else []
         if not all_ and not held and not any(n.z > 0 for _, n in named):
@@ -540,12 +880,11 @@ class Field:
             last["word", n.key] = k
         near: dict[str, list[str]] = {}
         for key in sorted({n.key for _, n in named if len(n.key) >= 7}):  # nearly the same: one edit leaves the first or the second half alone
-            half = len(key) // 2
-            for part in {key[:3], key[half : half + 3], key[-3:]}:
+            for part in pieces(key):
                 near.setdefault(part, []).append(key)
         for group in near.values():
             for x, y in zip(group, group[1:], strict=False):
-                if distance(x, y, 1) <= 1:
+                if alike(x, y):
                     edges.append((last["word", x], last["word", y], "near"))
         return edges
 
@@ -610,12 +949,12 @@ class Field:
         """(start, end, type) of all personal information in a text, in order and disjoint; linked: with the field's edges."""
         nodes, words = self._nodes(text)
         self._score(nodes)
-        return self._places(nodes, self._edges(nodes, words) if linked else [], lambda: words)
+        return self._places(nodes, self.decide(nodes, self._edges(nodes, words) if linked else []), lambda: words)
 
-    def _places(self, nodes: list[Node], edges: list[tuple[int, int, str]], words: Callable[[], Words]) -> list[tuple[int, int, str]]:
+    def _places(self, nodes: list[Node], label: list[bool], words: Callable[[], Words]) -> list[tuple[int, int, str]]:
         found: list[tuple[int, int, str]] = []
         named: set[int] = set()
-        for n, yes in zip(nodes, self.decide(nodes, edges), strict=True):
+        for n, yes in zip(nodes, label, strict=True):
             if yes and n.token >= 0:
                 named.add(n.token)
             elif yes:
@@ -632,16 +971,32 @@ class Field:
         """spans() of each text, from its proposals."""
         score = np.bincount(np.repeat(np.arange(len(parts["sizes"])), parts["sizes"]), self.w[parts["features"]], len(parts["sizes"]))
         odds = np.clip(score[parts["forms"]].sum(1), -12.0, 12.0)[found["at"][:, 4]]
-        node = edge = 0
-        for text, n, m in zip(texts, found["per"], found["linked"], strict=True):
-            z = odds[node : node + n]
-            if n and z.max() > 0:
-                nodes = [Node(a, b, "", KINDS[kind], z=x, token=t) for (a, b, kind, t, _), x in zip(found["at"][node : node + n].tolist(), z.tolist(), strict=True)]
-                edges = [(a, b, EDGES[kind]) for a, b, kind in found["links"][edge : edge + m].tolist()]
-                yield self._places(nodes, edges, lambda text=text, nodes=nodes: Words(text, [x for x in nodes if x.token < 0], self.s.givens))
+        at, links = found["at"], found["links"]
+        node, edge = (np.concatenate([[0], np.cumsum(found[n], dtype=np.int64)]) for n in ("per", "linked"))
+        yes = odds > 0
+        ends = links[:, :2] + np.repeat(node[:-1], found["linked"])[:, None]
+        mixed = np.zeros(len(texts), bool)  # an edge can turn a label only beside another one
+        mixed[np.searchsorted(edge, np.flatnonzero(yes[ends[:, 0]] != yes[ends[:, 1]]), "right") - 1] = True
+        out: list[tuple[list[Node], list[bool]]] = [([], [])] * len(texts)
+        make = lambda rows, z: [Node(a, b, "", KINDS[kind], z=x, token=i) for (a, b, kind, i, _), x in zip(at[rows].tolist(), z.tolist(), strict=True)]
+        some = np.flatnonzero(yes)
+        of = np.searchsorted(node, some, "right") - 1
+        for t in np.unique(of).tolist():
+            if mixed[t]:
+                nodes = make(slice(node[t], node[t + 1]), odds[node[t] : node[t + 1]])
+                out[t] = nodes, self.decide(nodes, [(a, b, EDGES[kind]) for a, b, kind in links[edge[t] : edge[t + 1]].tolist()])
             else:
-                yield []
-            node, edge = node + n, edge + m
+                rows = some[np.searchsorted(of, t) : np.searchsorted(of, t, "right")]
+                out[t] = make(rows, odds[rows]), [True] * len(rows)
+        # the words of texts with names are read again
+        named = {t: i for i, t in enumerate(t for t, (nodes, label) in enumerate(out) if any(yes and n.token >= 0 for n, yes in zip(nodes, label, strict=True)))}
+        number = np.full(len(texts), -1)
+        number[list(named)] = list(named.values())
+        number = np.repeat(number, found["per"])
+        taken = (number >= 0) & (at[:, 3] < 0)
+        pages = Pages([texts[t] for t in named]).take(np.column_stack([number[taken], at[taken, :2]]).tolist())
+        for t, (nodes, label) in enumerate(out):
+            yield self._places(nodes, label, lambda t=t: pages.words(named[t], self.s.givens)) if nodes else []
 
 
 def packed(value: object) -> bytes:
@@ -653,46 +1008,57 @@ def unpacked(blob: bytes) -> object:
     return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
 
 
+def spread(parts: dict, none: int) -> np.ndarray:
+    """A row of features for each form, filled up with none."""
+    sizes = parts["sizes"]
+    of_part = np.full((len(sizes), sizes.max(initial=0)), none, np.int32)
+    of_part[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = parts["features"]
+    columns = parts["forms"].T
+    return np.concatenate([of_part[c, : sizes[c].max(initial=0)] for c in columns], 1)
+
+
 def learnt(parts: dict, silver: dict, dims: int, epochs: int) -> np.ndarray:
     """Pseudo-likelihood over the labelled nodes of some texts, each given its features and its neighbours' labels.
 
     Two rows: potentials and edges, each times the number of nodes it was learnt from, and this number; nothing where
     all labels are equal. Equal nodes count as often as they stand there. An edge may be of no strength, not negative.
     """
-    label, e, add = silver["label"].tolist(), len(EDGES), np.add.reduce
+    label, e = silver["label"].astype(np.float32), len(EDGES)
     sums = np.zeros((2, dims + e))
-    if len(set(label)) < 2:
+    if len(np.unique(label)) < 2:
         return sums
-    ends = np.cumsum(parts["sizes"])
-    of_part = [parts["features"][b - n : b] for b, n in zip(ends.tolist(), parts["sizes"].tolist(), strict=True)]
-    rows = [np.concatenate([of_part[i] for i in form]) for form in parts["forms"].tolist()]
-    forms, around = silver["form"].tolist(), silver["around"].astype(np.float32)
-    some = around.any(1).tolist()
+    forms, around = silver["form"], silver["around"].astype(np.float32)
+    features = spread(parts, dims)
     total, total_j = np.zeros(dims, np.float32), np.zeros(e, np.float32)
-    w, g2 = np.zeros(dims, np.float32), np.full(dims, 1e-2, np.float32)
+    w, g2 = np.zeros(dims + 1, np.float32), np.full(dims + 1, 1e-2, np.float32)  # the last: no feature
     j, j2 = np.zeros(e, np.float32), np.full(e, 1e-2, np.float32)
     order = np.random.default_rng(7).permutation(np.repeat(np.arange(len(forms)), silver["times"]))
-    sign = np.where(silver["label"], 1, -1)
+    sign, done = 2 * label - 1, 0
     for _ in range(epochs):
         # nodes that are right beyond doubt before an epoch move nothing in it
-        score = np.bincount(np.repeat(np.arange(len(ends)), parts["sizes"]), w[parts["features"]], len(ends))
+        score = np.bincount(np.repeat(np.arange(len(parts["sizes"])), parts["sizes"]), w[parts["features"]], len(parts["sizes"]))
         open_ = sign * (score[parts["forms"]].sum(1)[forms] + (around * j).sum(1)) < 6.9
-        for k in order[open_[order]].tolist():
-            x = rows[forms[k]]
-            z = float(add(w[x])) + (float(add(j * around[k])) if some[k] else 0.0)
-            step = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label[k]
-            if abs(step) > 1e-3:
-                step = np.float32(step)
-                g2[x] = new = g2[x] + step * step
-                w[x] -= 0.3 * step / np.sqrt(new)
-                if some[k]:
-                    g = step * around[k]
-                    j2 += g * g
-                    j = np.maximum(j - 0.3 * g / np.sqrt(j2), 0)
-        total += w
+        todo, at = order[open_[order]], 0
+        while at < len(todo):  # some nodes at once, few at first, while each moves much
+            k = todo[at : at + min(BATCH, 4 + done // BATCH)]
+            at, done = at + len(k), done + len(k)
+            x, beside = features[forms[k]], around[k]
+            step = 1 / (1 + np.exp(-np.clip(w[x].sum(1) + beside @ j, -30.0, 30.0))) - label[k]
+            move = np.abs(step) > 1e-3
+            if not move.all():
+                x, beside, step = x[move], beside[move], step[move]
+            x, each = x.ravel(), np.repeat(step, x.shape[1])
+            np.add.at(g2, x, each * each)
+            np.add.at(w, x, -0.3 * each / np.sqrt(g2[x]))
+            w[dims] = 0
+            if beside.any():
+                g = step[:, None] * beside
+                j2 += (g * g).sum(0)
+                j = np.maximum(j - 0.3 * g.sum(0) / np.sqrt(j2), 0)
+        total += w[:dims]
         total_j += j
-    by_form = np.bincount(silver["form"], silver["times"], len(rows))
-    by_part = sum((np.bincount(parts["forms"][:, c], by_form, len(ends)) for c in range(WIDTH)), np.zeros(len(ends)))
+    by_form = np.bincount(forms, silver["times"], len(features))
+    by_part = sum((np.bincount(parts["forms"][:, c], by_form, len(parts["sizes"])) for c in range(WIDTH)), np.zeros(len(parts["sizes"])))
     sums[1] = np.concatenate([np.bincount(parts["features"], np.repeat(by_part, parts["sizes"]), dims), silver["times"] @ np.abs(around)])
     sums[0] = np.concatenate([total, total_j]) / epochs * sums[1]
     return sums
